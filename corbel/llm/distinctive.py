@@ -65,9 +65,7 @@ def term_distinctiveness(postings: DataFrame, docs: DataFrame | None = None, onl
         found = lost.select("term", "chunk_id").join(again, ["term", "chunk_id"], "left").select("term", "chunk_id", F.col("again").alias("freq"))
         one = one.where(F.col("freq").isNotNull()).unionByName(found)
     one = one.select("term", "chunk_id", F.coalesce(F.when(F.col("freq") > 0, F.col("freq")), F.lit(1)).cast("int").alias("freq"))
-    total = spread.agg(F.sum("df").alias("pairs"))
-    rated = spread.crossJoin(F.broadcast(total))  # one row
-    rated = rated.select("term", "df", (F.col("df") / F.col("pairs")).alias("q"))
+    rated = spread.select("term", "df", (F.col("df") / spread.agg(F.sum("df")).scalar()).alias("q"))
     hot = rated.where(F.col("q") > hot_share).withColumnsRenamed({"df": "hot_df", "q": "hot_q"})
     split = one.join(F.broadcast(hot), "term", "left")
     frequent = split.where(F.col("hot_df").isNotNull()).select("term", "chunk_id", "freq", F.col("hot_df").alias("df"), F.col("hot_q").alias("q"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corbel.llm import bpe, consensus, distinctive, packing, splitting
+from corbel.llm import bpe, consensus, distinctive, neighbours, packing, shared_spans, splitting
 from corbel.session import table
 
 
@@ -22,6 +22,16 @@ def p1_scores(spark: SparkSession, d: str) -> DataFrame:
     return distinctive.term_distinctiveness(table(spark, d, "postings"), table(spark, d, "bm25_docs"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of chunks that are close and among each other's ten most similar."""
+    return neighbours.mutual_pairs(neighbours.nearest(table(spark, d, "vectors")))
+
+
+def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most similar chunks of every usable vector."""
+    return neighbours.nearest(table(spark, d, "vectors"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Chunks that had to be split."""
     return splitting.split_oversized(table(spark, d, "chunks")).where(F.col("n_parts") > 1).where(F.col("part") == 1).select("chunk_id")
@@ -52,8 +62,18 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(table(spark, d, "documents"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of documents that share at least 200 consecutive characters."""
+    return shared_spans.SharedSpans(table(spark, d, "documents")).pairs()
+
+
+def p9_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's shared spans and the share of its text they cover."""
+    return shared_spans.SharedSpans(table(spark, d, "documents")).spans()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_scores, p4_found, p4_pieces, p6_found, p6_ranking, p7_ids, p8_containers)}
+    return {f.__name__: f for f in (p1_found, p1_scores, p2_found, p2_neighbours, p4_found, p4_pieces, p6_found, p6_ranking, p7_ids, p8_containers, p9_found, p9_spans)}
 
 
 def oracle_sql() -> dict[str, str]:
