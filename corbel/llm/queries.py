@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corbel.llm import bpe, consensus, distinctive, neighbours, packing, shared_spans, splitting
+from corbel.llm import bpe, consensus, distinctive, neighbours, packing, shared_spans, splitting, syntax
 from corbel.session import table
 
 
@@ -32,6 +32,21 @@ def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.nearest(table(spark, d, "vectors"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Files that are not valid for their extension."""
+    return syntax.flag_files(table(spark, d, "files")).where("invalid").select("file_id").distinct()
+
+
+def p3_flags(spark: SparkSession, d: str) -> DataFrame:
+    """The verdict on every file."""
+    return syntax.flag_files(table(spark, d, "files"))
+
+
+def p3_rates(spark: SparkSession, d: str) -> DataFrame:
+    """The share of invalid files of each repository and language."""
+    return syntax.invalid_rates(table(spark, d, "files"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Chunks that had to be split."""
     return splitting.split_oversized(table(spark, d, "chunks")).where(F.col("n_parts") > 1).where(F.col("part") == 1).select("chunk_id")
@@ -73,7 +88,7 @@ def p9_spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_scores, p2_found, p2_neighbours, p4_found, p4_pieces, p6_found, p6_ranking, p7_ids, p8_containers, p9_found, p9_spans)}
+    return {f.__name__: f for f in (p1_found, p1_scores, p2_found, p2_neighbours, p3_found, p3_flags, p3_rates, p4_found, p4_pieces, p6_found, p6_ranking, p7_ids, p8_containers, p9_found, p9_spans)}
 
 
 def oracle_sql() -> dict[str, str]:
