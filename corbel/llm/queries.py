@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corbel.llm import bpe, consensus, distinctive, neighbours, packing, shared_spans, splitting, syntax
+from corbel.llm import bpe, consensus, distinctive, documented, neighbours, packing, shared_spans, splitting, syntax
 from corbel.session import table
 
 
@@ -57,6 +57,16 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "chunks"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Functions and methods whose documentation tells something."""
+    return documented.documented_functions(table(spark, d, "symbols"), table(spark, d, "files"), code=False).select("symbol_id").distinct()
+
+
+def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Code and documentation of all functions and methods with telling documentation."""
+    return documented.documented_functions(table(spark, d, "symbols"), table(spark, d, "files"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """The first chunk of each query's united list."""
     return consensus.first_of_each(consensus.robust_rank_aggregation(table(spark, d, "ranked")))
@@ -88,7 +98,7 @@ def p9_spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_scores, p2_found, p2_neighbours, p3_found, p3_flags, p3_rates, p4_found, p4_pieces, p6_found, p6_ranking, p7_ids, p8_containers, p9_found, p9_spans)}
+    return {f.__name__: f for f in (p1_found, p1_scores, p2_found, p2_neighbours, p3_found, p3_flags, p3_rates, p4_found, p4_pieces, p5_found, p5_pairs, p6_found, p6_ranking, p7_ids, p8_containers, p9_found, p9_spans)}
 
 
 def oracle_sql() -> dict[str, str]:
