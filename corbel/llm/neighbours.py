@@ -128,7 +128,7 @@ def unit_vectors(vectors: DataFrame, dim: int = 64) -> DataFrame:
     return units.groupBy("model", "chunk_id").agg(F.min("unit").alias("unit"))
 
 
-def nearest(vectors: DataFrame, k: int = 10, dim: int = 64, curves: int = 24, factor: float = 0.055, power: float = 0.83, least: int = 128) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 10, dim: int = 64, curves: int = 24, factor: float = 0.045, power: float = 0.85, least: int = 128) -> DataFrame:
     """``(model, chunk_id, neighbours array<bigint>, cosines array<float>)`` for each usable vector, best first.
 
     The (approximately) ``k`` most similar other chunks of the same model; ties in cosine go by chunk id. Fewer than k
@@ -240,7 +240,8 @@ def _merged(t: pa.RecordBatch, change: np.ndarray, k: int) -> pa.RecordBatch:
 
 def mutual_pairs(neighbours: DataFrame, least: float = 0.92) -> DataFrame:
     """``(chunk_id_a, chunk_id_b)``, a < b: pairs with at least this cosine, each among the other's neighbours."""
-    near = neighbours.select("model", "chunk_id", F.explode(F.arrays_zip("neighbours", "cosines")).alias("x")).where(F.col("x.cosines") >= least).select("model", "chunk_id", F.col("x.neighbours").alias("other"))
-    a = near.where("chunk_id < other").select("model", F.col("chunk_id").alias("chunk_id_a"), F.col("other").alias("chunk_id_b"))
-    b = near.where("chunk_id > other").select("model", F.col("other").alias("chunk_id_a"), F.col("chunk_id").alias("chunk_id_b"))
-    return a.join(b, ["model", "chunk_id_a", "chunk_id_b"], "left_semi").select("chunk_id_a", "chunk_id_b").distinct()
+    near = neighbours.select("model", "chunk_id", F.explode(F.arrays_zip("neighbours", "cosines")).alias("x")).where(F.col("x.cosines") >= least)
+    other = F.col("x.neighbours")
+    # Either side names the pair once; seen from both sides it is mutual. One pass over the lists, combined before the shuffle.
+    sides = near.groupBy("model", F.least("chunk_id", other).alias("chunk_id_a"), F.greatest("chunk_id", other).alias("chunk_id_b")).agg(F.max(F.col("chunk_id") < other).alias("up"), F.max(F.col("chunk_id") > other).alias("down"))
+    return sides.where("up AND down").select("chunk_id_a", "chunk_id_b").distinct()
