@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corbel.session import cut
+
 _BASE = 0x5851F42D4C957F2D  # odd multiplier of the rolling hash, modulo 2**64
 _U = np.uint64
 
@@ -233,7 +235,8 @@ def _cuts_of_large_groups(blocks: DataFrame, gram: int, reach: int) -> DataFrame
 
 
 class SharedSpans:
-    """The relative parse of a collection ``docs(id, text)``; results are lazy.
+    """The relative parse of a collection ``docs(id, text)``. The blocks around shared anchors, a few hundred bytes for each
+    place that some other text shares, are computed once into the shared checkpoint folder; results are lazy from there.
 
     Null ids are left out (a pair can't name them), null and short texts share nothing, repeated rows count once (of an
     id with several texts, lengths and copies go by the smallest). Equal texts form a class that is parsed once, under
@@ -257,9 +260,10 @@ class SharedSpans:
         self.members = keyed.where(F.col("chars") >= span).join(classes, "key").select("doc", "rep", "chars", "members")
         copies = self.members.where(F.col("doc") != F.col("rep")).select("doc")
         ones = self.docs.where(F.length("text") >= span).join(copies, "doc", "left_anti")
-        rows = _anchor_rows(ones, gram, window).repartition("anchor")
-        counts = rows.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("anchor", "n")
-        blocks = _blocks(rows.join(counts, "anchor"), ones, gram, reach).repartition("anchor")
+        # One shuffle of small rows; a window over equal anchors holds numbers only and spills.
+        same = Window.partitionBy("anchor")
+        rows = _anchor_rows(ones, gram, window).select("*", F.min("doc").over(same).alias("lo"), F.max("doc").over(same).alias("hi"), F.count(F.lit(1)).over(same).alias("n"))
+        blocks = cut(_blocks(rows.where("lo < hi").drop("lo", "hi"), ones, gram, reach))
         self.factors = _factors_of_small_groups(blocks.where(F.col("n") <= small), gram, reach)
         self.cuts = _cuts_of_large_groups(blocks.where(F.col("n") > small), gram, reach)
 
