@@ -116,5 +116,31 @@ def oracle_sql() -> dict[str, str]:
             k AS (SELECT chunk_id, arg_max(fs / (1 + 999 * qs), fs) AS mu FROM c WHERE r > 999 * fs / (1 + 999 * qs) GROUP BY 1),
             s AS (SELECT c.chunk_id, term, row_number() OVER (PARTITION BY c.chunk_id ORDER BY greatest(0, f / mu - 999 * q) DESC, r DESC, term) AS n FROM c JOIN k USING (chunk_id))
             SELECT chunk_id, term FROM s WHERE n = 1""",
+        # Brute force over all pairs of usable vectors of a model.
+        "p2_found": """
+            WITH v AS (SELECT DISTINCT model, chunk_id, CAST(embedding AS DOUBLE[]) AS e FROM vectors WHERE chunk_id IS NOT NULL AND model IS NOT NULL AND len(embedding) = 64
+                       AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+            n AS (SELECT a.model, a.chunk_id AS a, b.chunk_id AS b, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.model = b.model AND a.chunk_id <> b.chunk_id),
+            t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model, a ORDER BY c DESC, b) AS r FROM n) WHERE r <= 10 AND c >= 0.92)
+            SELECT DISTINCT x.a AS chunk_id_a, x.b AS chunk_id_b FROM t x JOIN t y ON x.model = y.model AND x.a = y.b AND x.b = y.a WHERE x.a < x.b""",
+        # Robust rank aggregation, binomial terms by logarithms.
+        "p6_found": """
+            WITH i AS (SELECT query_id, retriever, chunk_id, min(CASE WHEN rank >= 1 THEN rank END) AS rank, min(CASE WHEN NOT isnan(score) THEN CASE WHEN retriever = 'vector' THEN score ELSE -score END END) AS cost, max(CASE WHEN NOT isnan(weight) AND weight > 0 THEN weight END) AS weight
+                       FROM ranked WHERE query_id IS NOT NULL AND retriever IS NOT NULL AND chunk_id IS NOT NULL GROUP BY 1, 2, 3),
+            l AS (SELECT query_id, retriever, count(rank) > 0 AS has_ranks, greatest(1, round(coalesce(max(weight), 1.0) / 0.5)) AS v, count(*) AS size FROM i GROUP BY 1, 2),
+            k AS (SELECT i.query_id, i.retriever, chunk_id, v, size, CASE WHEN has_ranks THEN rank ELSE cost END AS key FROM i JOIN l USING (query_id, retriever)),
+            p AS (SELECT *, rank() OVER (PARTITION BY query_id, retriever ORDER BY key NULLS LAST) + (count(*) OVER (PARTITION BY query_id, retriever, key) - 1) / 2 AS pos FROM k),
+            h AS (SELECT query_id, sum(v) AS n FROM l GROUP BY 1),
+            c AS (SELECT p.query_id, chunk_id, pos, pos / size AS r, sum(v) OVER (PARTITION BY p.query_id, chunk_id ORDER BY pos / size, v ROWS UNBOUNDED PRECEDING) AS k, n FROM p JOIN h USING (query_id)),
+            b AS (SELECT query_id, chunk_id, pos, n, CASE WHEN r >= 1 THEN 1.0 ELSE least(1.0, list_sum(list_transform(range(CAST(k AS BIGINT), CAST(n AS BIGINT) + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(r) + (n - j) * ln(1 - r))))) END AS tail FROM c),
+            s AS (SELECT query_id, chunk_id, least(1.0, min(tail) * max(n)) AS rho, min(pos) AS best FROM b GROUP BY 1, 2)
+            SELECT query_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rho, 12), best, chunk_id) AS place FROM s) WHERE place = 1""",
+        # Every 200-character substring of every document.
+        "p9_found": """
+            WITH g AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, CAST(length(text) - 198 AS BIGINT)), lambda i: substr(text, i, 200)))) AS gram FROM documents WHERE length(text) >= 200),
+            m AS (SELECT gram, list_distinct(list(doc_id)) AS ids FROM g GROUP BY 1 HAVING count(DISTINCT doc_id) > 1),
+            x AS (SELECT DISTINCT list_sort(ids) AS ids FROM m),
+            y AS (SELECT ids, unnest(ids) AS a FROM x)
+            SELECT DISTINCT a AS doc_id_a, b AS doc_id_b FROM (SELECT a, unnest(ids) AS b FROM y) WHERE a < b""",
         "p4_found": "SELECT DISTINCT id AS chunk_id FROM chunks WHERE strlen(text) > 4096",
     }
