@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corbel.functions.text import index_text, tokenize_code
+from corbel.session import cut, spread
 
 K1, B = 1.2, 0.75
 
@@ -60,12 +61,18 @@ def search(postings: DataFrame, stats: DataFrame, terms: DataFrame, k: int, k1:
     n, avgdl = whole.select("n").scalar(), whole.select("avgdl").scalar()
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = terms.join(df, "term").select("query_id", "term", idf.alias("idf"))
-    part = F.col("idf") * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("length") / avgdl))
-    scored = hit.join(weighted, "term").join(sizes, "chunk_id").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), digits).alias("score"))
+    # What a posting is worth does not depend on the query, so it is computed before postings meet queries.
+    worth = F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("length") / avgdl))
+    # Kept together by chunk: scores add up where the postings lie.
+    valued = spread(hit.join(sizes, "chunk_id").select("term", "chunk_id", worth.alias("worth")), "chunk_id")
+    scored = valued.join(weighted, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("idf") * F.col("worth")), digits).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("chunk_id"))
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
 
 
 def search_chunks(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Index and search in one plan."""
-    return search(inverted_index(chunks), doc_stats(chunks), query_terms(queries), k)
+    """Index and search: texts are tokenised once, into postings in the checkpoint folder; lengths follow from them."""
+    post = cut(inverted_index(chunks))
+    lengths = post.groupBy("chunk_id").agg(F.sum("freq").alias("length"))
+    stats = chunks.select(F.col("id").alias("chunk_id")).distinct().join(lengths, "chunk_id", "left")
+    return search(post, stats, query_terms(queries), k)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corbel.functions.text import tokenize_code
+from corbel.session import spread
 
 
 def grep(files: DataFrame, queries: DataFrame, k: int = 5, least: int = 3) -> DataFrame:
@@ -14,16 +15,18 @@ def grep(files: DataFrame, queries: DataFrame, k: int = 5, least: int = 3) -> Da
     ``files(scope, path, text)``, ``queries(query_id, scope, query_text)``: a query searches its scope (null scopes meet
     null). Tokens shorter than ``least`` are left out, case does not matter. The best ``k`` by score, path, line.
 
-    Lines are matched by their words, so the search is one join on words with counts combined before the shuffle.
+    Lines are matched by their words, so the search is one join on words; a line's words stay together, so that counts need
+    no further shuffle.
     """
     terms = queries.select("query_id", "scope", F.explode(F.array_distinct(tokenize_code(F.col("query_text")))).alias("term")).where(F.length("term") >= least)
     terms = terms.distinct()
     asked = terms.select("term").distinct()
     lines = files.select("scope", "path", F.posexplode(F.split("text", "\n")).alias("__i", "__line"))
     found = lines.select("scope", "path", (F.col("__i") + 1).alias("line"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("__line"), F.lit(r"[_\p{L}\p{Nd}]+"), F.lit(0)))).alias("term"))
-    found = found.join(asked, "term", "left_semi").groupBy("scope", "path", "line", "term").agg(F.lit(1).alias("one"))
+    found = spread(found.join(asked, "term", "left_semi"), "path", "line").dropDuplicates(["scope", "path", "line", "term"])
     a, b = terms.alias("a"), found.alias("b")
     hits = a.join(b, (F.col("a.term") == F.col("b.term")) & F.col("a.scope").eqNullSafe(F.col("b.scope")))
-    scored = hits.groupBy(F.col("a.query_id").alias("query_id"), F.col("b.path").alias("path"), F.col("b.line").alias("line")).agg(F.countDistinct("a.term").cast("int").alias("score"))
+    # Terms are distinct on both sides, so rows count terms.
+    scored = hits.groupBy(F.col("a.query_id").alias("query_id"), F.col("b.path").alias("path"), F.col("b.line").alias("line")).agg(F.count(F.lit(1)).cast("int").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "path", "line")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "path", "line", "score")

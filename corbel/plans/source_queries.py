@@ -13,7 +13,7 @@ from corbel.sources.files import module_names as name_modules
 
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "files")
+    return table(spark, d, "files", wide=True)
 
 
 @query("SELECT DISTINCT id FROM symbols WHERE kind IN ('class', 'function', 'method')")

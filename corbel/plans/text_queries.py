@@ -40,28 +40,28 @@ UNSET = "CASE WHEN weight IS NULL OR weight = 0 OR isnan(weight) THEN 1.0 ELSE w
 
 @query(f"SELECT doc_id, array_to_string({sql_tokens('text')}, ' ') AS tokens FROM documents")
 def tokenize_code(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.array_join(T.tokenize_code(F.col("text")), " ").alias("tokens"))
+    return table(spark, d, "documents", wide=True).select("doc_id", F.array_join(T.tokenize_code(F.col("text")), " ").alias("tokens"))
 
 
 @query(r"""SELECT doc_id, CAST(coalesce(list_sum(list_transform(regexp_extract_all(coalesce(text, ''), '[_\p{L}\p{Nd}]+'), lambda w: CAST(ceil(length(w) / 4.0) AS BIGINT))), 0)
        + length(regexp_replace(regexp_replace(coalesce(text, ''), '[_\p{L}\p{Nd}\s\p{Z}]', '', 'g'), '[' || chr(11) || chr(133) || ']', '', 'g')) AS INT) AS tokens FROM documents""")
 def token_count(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", T.count_tokens(F.col("text")).alias("tokens"))
+    return table(spark, d, "documents", wide=True).select("doc_id", T.count_tokens(F.col("text")).alias("tokens"))
 
 
 @query(f"WITH {CHUNK_TOKENS} SELECT chunk_id, term, CAST(count(*) AS INT) AS freq FROM (SELECT chunk_id, unnest(toks) AS term FROM chunk_tokens) GROUP BY 1, 2")
 def inverted_index(spark: SparkSession, d: str) -> DataFrame:
-    return bm25.inverted_index(table(spark, d, "chunks"))
+    return bm25.inverted_index(table(spark, d, "chunks", wide=True))
 
 
 @query(f"WITH {CHUNK_TOKENS} SELECT chunk_id, CAST(len(toks) AS INT) AS length FROM chunk_tokens")
 def doc_stats(spark: SparkSession, d: str) -> DataFrame:
-    return bm25.doc_stats(table(spark, d, "chunks"))
+    return bm25.doc_stats(table(spark, d, "chunks", wide=True))
 
 
 @query(f"WITH {CHUNK_TOKENS} SELECT chunk_id, CAST(len(toks) AS INT) AS length, CAST(len(list_distinct(toks)) AS INT) AS terms, CAST(coalesce(list_max(list_transform(list_distinct(toks), lambda x: len(list_filter(toks, lambda y: y = x)))), 0) AS INT) AS top FROM chunk_tokens")
 def term_maps(spark: SparkSession, d: str) -> DataFrame:
-    m = bm25.term_maps(table(spark, d, "chunks"))
+    m = bm25.term_maps(table(spark, d, "chunks", wide=True))
     top = F.coalesce(F.array_max(F.map_values("term_freq")), F.lit(0))
     return m.select("chunk_id", "length", F.size("term_freq").alias("terms"), top.alias("top"))
 
@@ -69,12 +69,12 @@ def term_maps(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH terms AS (SELECT DISTINCT 0 AS query_id, unnest({sql_tokens(repr(LITERAL))}) AS term), {BM25} SELECT rank, chunk_id, score FROM bm WHERE rank <= 20")
 def bm25_search(spark: SparkSession, d: str) -> DataFrame:
     one = spark.createDataFrame([(0, LITERAL)], "query_id int, query_text string")
-    return bm25.search_chunks(table(spark, d, "chunks"), one, 20).drop("query_id")
+    return bm25.search_chunks(table(spark, d, "chunks", wide=True), one, 20).drop("query_id")
 
 
 @query(f"WITH {TERMS}, {BM25} SELECT query_id, rank, chunk_id, score FROM bm WHERE rank <= {K}")
 def bm25_batch_search(spark: SparkSession, d: str) -> DataFrame:
-    return bm25.search_chunks(table(spark, d, "chunks"), table(spark, d, "eval_queries"), K)
+    return bm25.search_chunks(table(spark, d, "chunks", wide=True), table(spark, d, "eval_queries"), K)
 
 
 def _knn(metric: str, expr: str):
@@ -159,7 +159,7 @@ FILE_TEXT = "files WHERE lower(path) LIKE '%.py' AND text IS NOT NULL"
 @query(None)
 def grep_baseline(spark: SparkSession, d: str) -> DataFrame:
     """Every evaluation query against the Python files of its repository (files that are UTF-8)."""
-    files = table(spark, d, "files").where(F.lower("path").endswith(".py"))
+    files = table(spark, d, "files", wide=True).where(F.lower("path").endswith(".py"))
     sources = files.select(F.col("repo_id").alias("scope"), "path", F.try_validate_utf8(F.col("content").cast("string")).alias("text")).where("text IS NOT NULL")
     return grep(sources, table(spark, d, "eval_queries").select("query_id", F.col("repo_id").alias("scope"), "query_text"))
 
@@ -172,7 +172,7 @@ def grep_baseline(spark: SparkSession, d: str) -> DataFrame:
     SELECT query_id, rank, path, line, score FROM r WHERE rank <= 5""")
 def grep_documents(spark: SparkSession, d: str) -> DataFrame:
     """Every evaluation query against the lines of all documents."""
-    docs = table(spark, d, "documents").select(F.lit(None).cast("bigint").alias("scope"), F.col("doc_id").cast("string").alias("path"), "text")
+    docs = table(spark, d, "documents", wide=True).select(F.lit(None).cast("bigint").alias("scope"), F.col("doc_id").cast("string").alias("path"), "text")
     return grep(docs, table(spark, d, "eval_queries").select("query_id", F.lit(None).cast("bigint").alias("scope"), "query_text"))
 
 
@@ -210,7 +210,7 @@ def eval_by_type(spark: SparkSession, d: str) -> DataFrame:
 @query(None)
 def fake_embedding(spark: SparkSession, d: str) -> DataFrame:
     """Deterministic stand-in vectors of all chunks, on header and text."""
-    c = table(spark, d, "chunks").select("id", T.embedding_text(F.col("context_header"), F.col("text")).alias("t"))
+    c = table(spark, d, "chunks", wide=True).select("id", T.embedding_text(F.col("context_header"), F.col("text")).alias("t"))
     return embedding.embed(c, "id", "t")
 
 

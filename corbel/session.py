@@ -24,6 +24,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One Parquet table of the data folder."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, wide: bool = False) -> DataFrame:
+    """One Parquet table of the data folder.
+
+    ``wide`` is for expensive work on each row: a table of fewer files (or row groups) than the cluster has cores is
+    dealt out to all of them first. Larger tables are read as they are.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if wide and df.rdd.getNumPartitions() * 2 <= cores else df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partitioned by ``keys`` into as many parts as the session shuffles into, whatever their size now.
+
+    For the small side of a join that makes many rows of few bytes: adaptive execution would put it into one task.
+    What is grouped by these keys (and others) afterwards needs no further exchange. (One part more than usual: a
+    repartitioning that equals the child's own would be dropped, and the child's be coalesced.)
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) + 1, *keys)
