@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corbel.session import spread
+
 _PREFIX = r"[rRuUbBfF]{0,2}+"
 _LEXER = "|".join(
     [
@@ -123,7 +125,7 @@ def functions_of(sources: DataFrame, ends: bool = True) -> DataFrame:
     ``comment`` holds the comment lines directly above. ``ends=False`` leaves ``end_line`` null and saves its windows.
     Everything is partitioned by file, so the text is shuffled once and nothing after it.
     """
-    s = _statements(sources.where(F.col("text").isNotNull() & F.col("file_id").isNotNull()).repartition("file_id"))
+    s = _statements(spread(sources.where(F.col("text").isNotNull() & F.col("file_id").isNotNull()), "file_id"))
     w = Window.partitionBy("file_id").orderBy("stmt")
     near = ["head", "indent", "n_code", "docs"]
     s = s.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in near], F.lag("head").over(w).alias("prev_head"), F.lag("notes").over(w).alias("above"), F.lag("last").over(w).alias("prev_last"), F.lag("indent").over(w).alias("prev_indent"))
