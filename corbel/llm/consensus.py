@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corbel.operators.ranking import competition_ranks
+from corbel.session import cut
 
 
 def _beta_tail(x: Column, k: Column, n: Column) -> Column:
@@ -34,7 +35,8 @@ def normalised_positions(ranked: DataFrame, ascending: tuple[str, ...] = ("vecto
     lists = items.groupBy("query_id", "retriever").agg((F.count("rank") > 0).alias("has_ranks"), F.coalesce(F.max("weight"), F.lit(1.0)).alias("w"))
     order = F.when(F.col("has_ranks"), F.col("rank")).otherwise(F.col("cost"))
     keyed = items.drop("weight").join(lists, ["query_id", "retriever"]).select("query_id", "retriever", "chunk_id", F.col("w").alias("weight"), order.alias("__key"))
-    return competition_ranks(keyed, ["query_id", "retriever"], "__key", "position", "size").drop("__key")
+    # Counted, ranked and joined from one stored table instead of anew for each.
+    return competition_ranks(cut(keyed), ["query_id", "retriever"], "__key", "position", "size").drop("__key")
 
 
 def robust_rank_aggregation(ranked: DataFrame, unit: float = 0.5, ascending: tuple[str, ...] = ("vector",)) -> DataFrame:
@@ -48,7 +50,8 @@ def robust_rank_aggregation(ranked: DataFrame, unit: float = 0.5, ascending: tup
     Positions come from counts of distinct values in order-preserving cells, so a query or list that holds a third of
     all rows is not gathered in a task; an item's ranks are one for each retriever.
     """
-    positions = normalised_positions(ranked, ascending).withColumn("votes", F.greatest(F.lit(1), F.round(F.col("weight") / unit)).cast("int"))
+    votes = F.greatest(F.lit(1), F.round(F.col("weight") / unit)).cast("int").alias("votes")
+    positions = cut(normalised_positions(ranked, ascending).select("query_id", "retriever", "chunk_id", "position", "size", votes))
     # The votes of a query come from its lists, a row for each retriever.
     heads = positions.groupBy("query_id", "retriever").agg(F.max("votes").alias("v")).groupBy("query_id").agg(F.sum("v").cast("int").alias("n"), F.count(F.lit(1)).cast("int").alias("n_lists"))
     entry = F.struct((F.col("position") / F.col("size")).alias("r"), F.col("votes").alias("v"))
