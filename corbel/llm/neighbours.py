@@ -128,7 +128,7 @@ def unit_vectors(vectors: DataFrame, dim: int = 64) -> DataFrame:
     return units.groupBy("model", "chunk_id").agg(F.min("unit").alias("unit"))
 
 
-def nearest(vectors: DataFrame, k: int = 10, dim: int = 64, curves: int = 24, factor: float = 0.045, power: float = 0.85, least: int = 128) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 10, dim: int = 64, curves: int = 24, factor: float = 0.05, power: float = 0.86, least: int = 128) -> DataFrame:
     """``(model, chunk_id, neighbours array<bigint>, cosines array<float>)`` for each usable vector, best first.
 
     The (approximately) ``k`` most similar other chunks of the same model; ties in cosine go by chunk id. Fewer than k
