@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import random
+import time
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -35,11 +37,31 @@ def stand_in(texts: Sequence[str], dim: int = 64) -> np.ndarray:
     return out / np.where(norm > 0, norm, np.float32(1))[:, None]
 
 
-def embed(rows: DataFrame, id_col: str, text_col: str, embedder: Embedder | None = None, dim: int = 64, batch: int = 128) -> DataFrame:
+class Retrying:
+    """An embedder that repeats calls that failed for a passing reason: waits grow from ``first`` to ``most`` seconds, each
+    drawn up to ``jitter`` off; after ``retries`` repetitions the error is raised."""
+
+    def __init__(self, embedder: Embedder, retries: int = 5, first: float = 0.5, most: float = 30.0, jitter: float = 0.2, passing: tuple[type[Exception], ...] = (ConnectionError, TimeoutError), sleep: Callable[[float], None] = time.sleep) -> None:
+        self.embedder, self.retries, self.first, self.most, self.jitter, self.passing, self.sleep = embedder, retries, first, most, jitter, passing, sleep
+
+    def __call__(self, texts: Sequence[str]) -> Sequence[Sequence[float]]:
+        for turn in range(self.retries + 1):
+            try:
+                return self.embedder(texts)
+            except self.passing:
+                if turn == self.retries:
+                    raise
+                wait = min(self.most, self.first * 2**turn)
+                self.sleep(wait * (1 + self.jitter * (2 * random.random() - 1)))
+        raise AssertionError("unreachable")
+
+
+def embed(rows: DataFrame, id_col: str, text_col: str, embedder: Embedder | None = None, dim: int = 64, batch: int = 128, unit: bool = False) -> DataFrame:
     """``(id_col, embedding array<float>)`` for every row with a text; null texts have a null vector.
 
     ``embedder`` maps a batch of texts to vectors in the same order; a wrong count, width, or a number that isn't finite
-    stops the query. Retries and transport are the embedder's own.
+    stops the query. ``unit`` divides each vector by its norm; a zero vector then stops the query, too. For retries wrap
+    the embedder in :class:`Retrying`; transport is its own.
     """
     kind = rows.schema[id_col].dataType.simpleString()
     call = embedder or (lambda texts: stand_in(texts, dim))
@@ -56,6 +78,11 @@ def embed(rows: DataFrame, id_col: str, text_col: str, embedder: Embedder | None
                     raise ValueError(f"embedder returned {got.shape} for {len(part)} texts of {dim} dimensions")
                 if not np.isfinite(got).all():
                     raise ValueError("embedder returned a number that isn't finite")
+                if unit:
+                    norms = np.linalg.norm(got.astype(np.float64), axis=1, keepdims=True)
+                    if (norms == 0).any():
+                        raise ValueError("embedder returned a zero vector")
+                    got = (got / norms).astype(np.float32)
                 for i, v in zip(part, got, strict=True):
                     out[i] = v
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.float32()))], names=[id_col, "embedding"])

@@ -111,6 +111,33 @@ def graph_projection(spark: SparkSession, d: str) -> DataFrame:
     return lookup.graph_projection(nodes, edges_of(spark, d), None, 20)[1].select("id", "src", "dst")
 
 
+@query(f"WITH {EDGES}, s AS (SELECT DISTINCT src AS id FROM edges ORDER BY 1 LIMIT 3) SELECT id, 'in' AS side FROM edges WHERE dst IN (FROM s) UNION ALL SELECT id, 'out' FROM edges WHERE src IN (FROM s)")
+def edges_direct(spark: SparkSession, d: str) -> DataFrame:
+    """Edges of any kind into and out of three nodes."""
+    e, ids = edges_of(spark, d), _first(spark, d, 3)
+    return lookup.callers_of(e, ids).select("id", F.lit("in").alias("side")).unionByName(lookup.callees_of(e, ids).select("id", F.lit("out").alias("side")))
+
+
+@query(f"""WITH RECURSIVE {EDGES}, kept AS (SELECT * FROM edges WHERE kind = 'purchase' AND src IS NOT NULL AND dst IS NOT NULL), first AS (SELECT DISTINCT src AS id FROM edges ORDER BY 1 LIMIT 1),
+    up AS (SELECT id AS node, 0 AS depth FROM first UNION SELECT e.src, depth + 1 FROM up JOIN kept e ON e.dst = node WHERE depth < 2), down AS (SELECT id AS node, 0 AS depth FROM first UNION SELECT e.dst, depth + 1 FROM down JOIN kept e ON e.src = node WHERE depth < 2)
+    SELECT 'callers' AS direction, node, CAST(min(depth) AS INT) AS depth FROM up GROUP BY 2 HAVING min(depth) > 0 UNION ALL SELECT 'callees', node, CAST(min(depth) AS INT) FROM down GROUP BY 2 HAVING min(depth) > 0""")
+def call_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Both directions over one kind of edge, which stands for calls."""
+    e = edges_of(spark, d).withColumn("kind", F.when(F.col("kind") == "purchase", "calls").otherwise(F.col("kind")))
+    return graph.call_graph(e, _first(spark, d), 2).select("direction", "node", "depth")
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT parent_id AS src, id AS dst FROM symbols WHERE parent_id IS NOT NULL), m AS (SELECT DISTINCT id FROM symbols WHERE kind = 'module'),
+    walk AS (SELECT id AS start, id AS node, 0 AS depth FROM m UNION SELECT w.start, e.dst, w.depth + 1 FROM walk w JOIN e ON e.src = w.node WHERE w.depth < 5),
+    hit AS (SELECT DISTINCT node FROM walk WHERE depth > 0) SELECT s.file_id, count(DISTINCT s.id) AS affected FROM hit JOIN symbols s ON s.id = hit.node GROUP BY 1""")
+def affected_by_file(spark: SparkSession, d: str) -> DataFrame:
+    """Everything below any module, counted for each file."""
+    s = table(spark, d, "symbols")
+    e = symbol_edges(spark, d).select(F.col("dst").alias("id"), "src", "dst", F.lit("contains").alias("kind"), F.lit(1.0).alias("confidence"))
+    reached = graph.affected(graph.callees(e, s.where("kind = 'module'").select("id"), 5))
+    return graph.by_file(reached, s).select("file_id", "affected")
+
+
 CLOSURE = f"""{KEPT}, n AS (SELECT DISTINCT src, dst FROM kept),
     reach AS (SELECT src, dst FROM n UNION SELECT r.src, n.dst FROM reach r JOIN n ON n.src = r.dst),
     scc AS (SELECT a.src AS node, max(a.dst) AS component FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src GROUP BY 1)"""
@@ -281,6 +308,31 @@ def global_ids(spark: SparkSession, d: str) -> DataFrame:
     return ingest.global_ids(s, ["file_id", "start_line", "id"], out="new_id").select("id", "new_id")
 
 
+@query("""WITH s AS (SELECT DISTINCT id, file_id, start_line, parent_id FROM symbols), n AS (SELECT id, file_id, parent_id, CAST(row_number() OVER (ORDER BY file_id, start_line, id) AS BIGINT) AS new_id FROM s)
+    SELECT n.new_id AS id, p.new_id AS parent_id FROM n LEFT JOIN n p ON p.id = n.parent_id AND p.file_id = n.file_id""")
+def remap_parents(spark: SparkSession, d: str) -> DataFrame:
+    """Symbols under new ids, their parents under theirs."""
+    s = table(spark, d, "symbols").select(F.col("id").alias("temp_id"), "file_id", "start_line", F.col("parent_id").alias("temp_parent")).distinct()
+    return ingest.remap_parents(ingest.global_ids(s, ["file_id", "start_line", "temp_id"])).select("id", "parent_id")
+
+
+@query("""WITH c AS (SELECT DISTINCT chunk_id, term, freq FROM postings WHERE repo_id = 1) SELECT DISTINCT chunk_id, term, freq FROM postings WHERE repo_id <> 1 AND chunk_id NOT IN (SELECT chunk_id FROM c) UNION SELECT chunk_id, term, 2 * freq FROM c""")
+def reindex_postings(spark: SparkSession, d: str) -> DataFrame:
+    """Postings of one repository replaced by later ones."""
+    from corbel.operators import bm25
+
+    p = table(spark, d, "postings").select("repo_id", "chunk_id", "term", "freq").distinct()
+    later = p.where("repo_id = 1").select("chunk_id", "term", (2 * F.col("freq")).alias("freq"))
+    return bm25.reindex(p.drop("repo_id"), later)
+
+
+@query("SELECT DISTINCT chunk_id, model FROM vectors WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0")
+def usable_vectors(spark: SparkSession, d: str) -> DataFrame:
+    from corbel.functions import vectors
+
+    return table(spark, d, "vectors").where(vectors.usable(F.col("embedding"), 64)).select("chunk_id", "model").distinct()
+
+
 @query("SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r <= 64")
 def session_keep_latest(spark: SparkSession, d: str) -> DataFrame:
     return state.keep_latest_per_key(table(spark, d, "events"), ["user_id"], [F.col("event_id").desc()], state.EVENTS_PER_SESSION).select("event_id", "user_id")

@@ -170,3 +170,36 @@ def test_label_spans(spark):
     labels = spark.createDataFrame([(1, "a", 1, 2), (2, "a", 3, 3), (3, "a", 2, 9), (4, "zz", 1, 1)], "label int, path string, start_line int, end_line int")
     src = spark.createDataFrame([("a", "x\n\n  \ny")], "path string, text string")
     assert {r.label: r.ok for r in evaluate.verify_spans(labels, src).collect()} == {1: True, 2: False, 3: False, 4: False}
+
+
+def test_retrying_waits_longer_each_time_and_gives_up():
+    waits, calls = [], []
+
+    def flaky(texts):
+        calls.append(texts)
+        if len(calls) < 4:
+            raise ConnectionError("busy")
+        return [[1.0]] * len(texts)
+
+    assert embedding.Retrying(flaky, sleep=waits.append)(["a"]) == [[1.0]]
+    assert len(waits) == 3 and all(0.8 * w <= got <= 1.2 * w for got, w in zip(waits, [0.5, 1, 2], strict=True))
+
+    def dead(texts):
+        raise TimeoutError
+
+    with pytest.raises(TimeoutError):
+        embedding.Retrying(dead, retries=2, sleep=waits.append)(["a"])
+
+    def wrong(texts):
+        raise ValueError("bad key")
+
+    with pytest.raises(ValueError, match="bad key"):
+        embedding.Retrying(wrong, sleep=lambda s: pytest.fail("must not wait"))(["a"])
+
+
+def test_unit_vectors_of_an_embedder(spark):
+    df = spark.createDataFrame([(1, "x"), (2, "y")], "id long, t string")
+    got = embedding.embed(df, "id", "t", lambda texts: [[3.0, 4.0]] * len(texts), dim=2, unit=True).collect()
+    assert all([round(x, 6) for x in r.embedding] == [0.6, 0.8] for r in got)
+    with pytest.raises(Exception, match="zero vector"):
+        embedding.embed(df, "id", "t", lambda texts: [[0.0, 0.0]] * len(texts), dim=2, unit=True).collect()
