@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def double_cell(value: Column, bits: int = 16) -> Column:
+def double_cell(value: Column) -> Column:
     """A coarse, order-preserving cell of a double: the leading bits of its exponent and mantissa.
 
     Cells follow the magnitude, so outliers do not squeeze the remaining values into one cell. Null stays null;

@@ -16,7 +16,7 @@ def _distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     if metric == "inner_product":
         return -dots
     if metric == "l2":
-        # Exact differences of the candidates are taken later; this form may lose a few last digits only.
+        # May lose a few last digits; the distances of those that are kept are taken again from differences.
         return np.sqrt(np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * dots, 0))
     scale = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -58,19 +58,21 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine",
                 qi, xi = np.nonzero(ls == s)[0], np.nonzero(rs == s)[0]
                 for lo in range(0, len(qi), 256):
                     rows = qi[lo : lo + 256]
-                    d = np.round(_distances(a[rows], b[xi], metric), digits) + 0.0
+                    d = _distances(a[rows], b[xi], metric)
                     keep = min(k, len(xi))
-                    # Everything up to the k-th distance, so that ties are settled by id.
+                    # Everything up to the k-th distance and what rounding may move there, so that ties are settled by id.
                     edge = np.partition(d, keep - 1, axis=1)[:, keep - 1]
-                    r, c = np.nonzero(d <= edge[:, None])
-                    order = np.lexsort((cid[xi[c]], d[r, c], r))
-                    r, c = r[order], c[order]
+                    r, c = np.nonzero(d <= edge[:, None] + 10.0**-digits)
+                    exact = np.linalg.norm(a[rows[r]] - b[xi[c]], axis=1) if metric == "l2" else d[r, c]
+                    exact = np.round(exact, digits) + 0.0
+                    order = np.lexsort((cid[xi[c]], exact, r))
+                    r, c, exact = r[order], c[order], exact[order]
                     place = np.arange(len(r)) - np.searchsorted(r, r)
-                    r, c = r[place < keep], c[place < keep]
+                    r, c, exact = r[place < keep], c[place < keep], exact[place < keep]
                     out[0] += qid.take(pa.array(rows[r])).to_pylist()
                     out[1] += [s] * len(r)
                     out[2] += cid[xi[c]].tolist()
-                    out[3] += d[r, c].tolist()
+                    out[3] += exact.tolist()
         return pa.table({"query_id": pa.array(out[0], left.schema.field("query_id").type), "scope": pa.array(out[1], pa.string()), "chunk_id": pa.array(out[2], pa.int64()), "distance": pa.array(out[3], pa.float64())})
 
     kind = queries.schema["query_id"].dataType.simpleString()
