@@ -8,9 +8,11 @@ and the string below a header.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corbel.operators.python_source import decode
 from corbel.session import spread
 
 _PREFIX = r"[rRuUbBfF]{0,2}+"
@@ -32,13 +34,33 @@ _LEXER = "|".join(
 )
 
 
-def source_text(content: Column) -> Column:
-    """Text of Python sources: UTF-8 or Latin-1 by their coding comment, without mark, line ends as line feeds; null if invalid."""
+def _coding(content: Column) -> Column:
+    """Lower-case encoding that a coding comment in the first two lines names; '' without one."""
     head = F.decode(F.substring(content, 1, 400), "ISO-8859-1")
-    coding = F.lower(F.regexp_extract(head, r"\A(?:[ \t\f]*(?:#[^\n\r]*)?\r?\n)?[ \t\f]*#[^\n\r]*?coding[:=][ \t]*([-\w.]+)", 1))
-    latin = coding.rlike(r"\A(?:latin[-_]?1|iso[-_]?8859[-_]1|l1|cp819)(?:-|\z)")
-    text = F.when(latin, F.decode(content, "ISO-8859-1")).otherwise(F.try_validate_utf8(content.cast("string")))
-    return F.regexp_replace(F.regexp_replace(text, "\\A﻿", ""), r"\r\n?", "\n")
+    return F.lower(F.regexp_extract(head, r"\A(?:\xEF\xBB\xBF)?(?:[ \t\f]*(?:#[^\n\r]*)?\r?\n)?[ \t\f]*#[^\n\r]*?coding[:=][ \t]*([-\w.]+)", 1))
+
+
+_LATIN, _UTF8 = r"\A(?:latin[-_]?1|iso[-_]?8859[-_]1|l1|cp819)(?:-|\z)", r"\A(?:|utf[-_]?8(?:[-_].*)?)\z"
+
+
+def source_text(content: Column) -> Column:
+    """Text of Python sources in UTF-8 or Latin-1 by their coding comment, without mark, line ends as line feeds; null if invalid."""
+    text = F.when(_coding(content).rlike(_LATIN), F.decode(content, "ISO-8859-1")).otherwise(F.try_validate_utf8(content.cast("string")))
+    return F.regexp_replace(F.regexp_replace(text, "\\A\ufeff", ""), r"\r\n?", "\n")
+
+
+def sources_of(files: DataFrame) -> DataFrame:
+    """``(file_id, text)`` of Python files. The common encodings are read in the JVM, any other that the language knows in Python."""
+    python = F.lower(F.coalesce(F.col("path"), F.lit(""))).rlike(r"\.pyi?\z")
+    rows = files.where(python & F.col("content").isNotNull()).select(F.col("id").cast("bigint").alias("file_id"), F.col("content").cast("binary").alias("content"))
+    common = _coding(F.col("content")).rlike(f"{_LATIN}|{_UTF8}")
+
+    def read(batches):
+        for b in batches:
+            texts = [decode(x) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if t is None else t.removeprefix("\ufeff") for t in texts], pa.string())], names=["file_id", "text"])
+
+    return rows.where(common).select("file_id", source_text(F.col("content")).alias("text")).unionByName(rows.where(~common).mapInArrow(read, "file_id bigint, text string"))
 
 
 def _statements(sources: DataFrame) -> DataFrame:
@@ -202,8 +224,7 @@ def documented_functions(symbols: DataFrame, files: DataFrame, code: bool = True
     """
     wanted = symbols.where(F.col("kind").isin("function", "method") & F.col("id").isNotNull())
     wanted = wanted.select(F.col("id").alias("symbol_id"), "file_id", "name", "qualified_name", "signature", "start_line", "end_line", "docstring").distinct()
-    python = F.lower(F.coalesce(F.col("path"), F.lit(""))).rlike(r"\.pyi?\z")
-    sources = files.where(python).select(F.col("id").alias("file_id"), source_text(F.col("content")).alias("text"))
+    sources = sources_of(files)
     found = functions_of(sources, ends=code).withColumn("at", F.explode(F.array_distinct(F.array("start_line", "def_line"))))
     found = found.select("file_id", F.col("at").cast("int").alias("start_line"), F.col("docstring").alias("source_doc"), "comment", F.col("end_line").alias("found_end"), F.col("def_line").alias("header_line"))
     pairs = wanted.join(found, ["file_id", "start_line"], "left")
