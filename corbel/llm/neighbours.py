@@ -1,9 +1,10 @@
 """Problem 2: the most similar vectors of every vector, by shifted space-filling curves.
 
 Unit vectors are projected on a few random directions, shifted, cut into levels and ordered along a Hilbert curve;
-several such orderings differ in directions and shifts. Spark range-partitions each ordering; in a partition every
-vector is compared with the vectors of a window around its place, as one matrix product for a block of places. The best
-of all orderings are merged and ranked by their cosines.
+several such orderings differ in directions and shifts. Cells that hold more vectors than a window are ordered further,
+by levels of their own. Spark range-partitions each ordering; in a partition every vector is compared with the vectors of
+a window around its place, as one matrix product for a block of places. The best of all orderings are merged and ranked
+by their cosines. Equal vectors take part once and are put back in the end.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corbel.session import cut
@@ -50,8 +51,8 @@ class Curves:
 
     def __init__(self, dim: int, count: int, axes: int = 12, bits: int = 2, seed: int = 17) -> None:
         rng = np.random.default_rng(seed)
-        axes = min(axes, dim, 62 // bits)
-        self.bits, self.count = bits, count
+        axes = min(axes, dim, 31 // bits)  # keys of two levels fit one number
+        self.bits, self.count, self.width = bits, count, axes * bits
         self.axes = [np.linalg.qr(rng.normal(size=(dim, dim)))[0][:, :axes].astype(np.float32) for _ in range(count)]
         # A coordinate of a random unit vector is close to normal with deviation dim ** -0.5; levels hold equal shares.
         cuts = np.quantile(np.random.default_rng(0).normal(size=1 << 16), np.arange(1, 1 << bits) / (1 << bits)) / np.sqrt(dim)
@@ -61,6 +62,49 @@ class Curves:
         levels = np.searchsorted(self.cuts, vectors @ self.axes[curve] + self.shifts[curve])
         return hilbert(levels, self.bits).astype(np.int64)
 
+    def dense_cells(self, sample: np.ndarray, crowd: int, depth: int = 2) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+        """For each curve and depth the cells with more than ``crowd`` vectors of the sample, and their own cuts.
+
+        Cells are sorted numbers: at the first depth keys, then ``place of the outer cell << width | inner key``. Cuts
+        are quantiles of the cell's members on each axis, so a tight group is spread over all levels again.
+        """
+        shares = np.arange(1, 1 << self.bits) / (1 << self.bits)
+        out = []
+        for c in range(self.count):
+            seen, path, curve = sample @ self.axes[c], self.keys(sample, c), []
+            for _ in range(depth):
+                cells, counts = np.unique(path, return_counts=True)
+                cells = cells[counts > crowd]
+                if not len(cells):
+                    break
+                cuts = np.stack([np.quantile(seen[path == cell], shares, axis=0).T for cell in cells]).astype(np.float32)
+                curve.append((cells, cuts))
+                at, inside, inner = self._inner(seen, path, cells, cuts)
+                seen, path = seen[inside], (at[inside] << self.width) | inner[inside]
+            out.append(curve)
+        return out
+
+    def _inner(self, seen: np.ndarray, path: np.ndarray, cells: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place of each row's cell among ``cells``, whether it is one of them, and the key inside it (0 elsewhere)."""
+        at = np.minimum(np.searchsorted(cells, path), len(cells) - 1)
+        inside = cells[at] == path
+        inner = np.zeros(len(path), np.int64)
+        if inside.any():
+            levels = (seen[inside][:, :, None] > cuts[at[inside]]).sum(axis=2)
+            inner[inside] = hilbert(levels, self.bits).astype(np.int64)
+        return at, inside, inner
+
+    def fine_keys(self, vectors: np.ndarray, curve: int, keys: np.ndarray, dense: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Order inside dense cells (see :meth:`dense_cells`); 0 in all others."""
+        fine, rows, path = np.zeros(len(keys), np.int64), np.arange(len(keys)), keys
+        if dense:
+            seen = vectors @ self.axes[curve]
+        for depth, (cells, cuts) in enumerate(dense):
+            at, inside, inner = self._inner(seen[rows], path, cells, cuts)
+            rows, path = rows[inside], (at[inside] << self.width) | inner[inside]
+            fine[rows] |= inner[inside] << (self.width if depth == 0 else 0)
+        return fine
+
 
 def window_of(n: int, factor: float, power: float, least: int) -> int:
     """Places to either side that are compared, for ``n`` vectors of a model."""
@@ -136,24 +180,48 @@ def nearest(vectors: DataFrame, k: int = 10, dim: int = 64, curves: int = 24, fa
     table gives an empty result.
 
     ``window_of(n)`` = factor * n ** power places to either side keep the recall at 0.9 or more as a model grows
-    (measured against brute force: README); where a model has at most ``least`` places to a side it is exhaustive.
-    Each ordering moves every vector once; no vector set is broadcast or collected.
+    (measured against brute force: README); where a model has at most ``least`` places to a side it is exhaustive. Equal unit vectors are each other's first
+    neighbours, exactly: only the one with the lowest id is ordered, the others are put back by id.
+    Each ordering moves every vector once; no vector set is broadcast or collected but a sample of bounded size, which
+    shows where groups of close vectors crowd a cell.
     """
     units = cut(unit_vectors(vectors, dim))
     sizes = units.groupBy("model").agg(F.count(F.lit(1)).alias("n"))
-    total, largest = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    total, largest, models = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0)), F.count(F.when(F.col("n") > 2 * least, 1))).first()
+    # The k + 1 lowest ids are all that can be among anybody's k best; the limit is taken on both sides of the shuffle.
+    place = F.row_number().over(Window.partitionBy("model", "unit").orderBy("chunk_id"))
+    heads = units.withColumn("__r", place).where(F.col("__r") <= k + 1).groupBy("model", "unit").agg(F.array_sort(F.collect_list("chunk_id")).alias("same"))
+    heads = cut(heads.where(F.size("same") > 1))
+    copied = not heads.isEmpty()
+    every = units
+    if copied:
+        units = units.join(heads.select("model", "unit", F.col("same")[0].alias("first")), ["model", "unit"], "left").where("first IS NULL OR first = chunk_id").select("model", "chunk_id", "unit")
+    few = F.least(F.lit(1.0), F.lit(min(20_000, 200_000 // max(models, 1))) / F.col("n"))
+    picked = units.join(sizes.where(F.col("n") > 2 * least), "model").where(F.pmod(F.xxhash64("chunk_id", F.lit("sample")), F.lit(1 << 20)) < few * (1 << 20)).select("model", "unit", "n")
+    samples: dict[str, list] = {}
+    for r in picked.collect():
+        samples.setdefault(r.model, [r.n]).append(bytes(r.unit))
     widest = window_of(max(largest, 1), factor, power, least)
     # A partition is many windows long, so few places lie near its ends, and holds some ten MB.
     parts = max(1, min(4096, curves * total // max(30_000, 12 * widest) + 1))
     family = Curves(dim, curves)
+    dense = {}
+    for model, (n, *seen) in samples.items():
+        crowd = max(32, int(window_of(n, factor, power, least) * len(seen) / n))
+        dense[model] = family.dense_cells(np.frombuffer(b"".join(seen), np.float32).reshape(-1, dim), crowd)
 
     def order(batches):
         for b in batches:
             n = b.num_rows
             x = np.frombuffer(b"".join(b.column(2).to_pylist()), np.float32).reshape(n, dim)
+            models = b.column(0).dictionary_encode()
+            mine = [(dense.get(m), models.indices.to_numpy() == i) for i, m in enumerate(models.dictionary.to_pylist())]
             for c in range(curves):
-                key = pa.array(family.keys(x, c))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(n, c, np.int32)), key, b.column(1), b.column(2), b.column(3)], names=["model", "curve", "key", "chunk_id", "unit", "n"])
+                key, fine = family.keys(x, c), np.zeros(n, np.int64)
+                for cells, rows in mine:
+                    if cells and cells[c]:
+                        fine[rows] = family.fine_keys(x[rows], c, key[rows], cells[c])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(n, c, np.int32)), pa.array(key), pa.array(fine), b.column(1), b.column(2), b.column(3)], names=["model", "curve", "key", "fine", "chunk_id", "unit", "n"])
 
     def flush(model, ids, xs, n):
         x, who = np.concatenate(xs), np.concatenate(ids)
@@ -199,12 +267,32 @@ def nearest(vectors: DataFrame, k: int = 10, dim: int = 64, curves: int = 24, fa
             if done:
                 yield _merged(t.slice(0, done), change[change < done], k)
 
-    orderings = units.join(sizes, "model").select("model", "chunk_id", "unit", "n").mapInArrow(order, "model string, curve int, key bigint, chunk_id bigint, unit binary, n bigint")
-    tie = F.xxhash64("chunk_id")  # equal vectors have equal keys; this spreads them
-    ordered = orderings.withColumn("tie", tie).repartitionByRange(parts, "model", "curve", "key", "tie").sortWithinPartitions("model", "curve", "key", "tie")
+    orderings = units.join(sizes, "model").select("model", "chunk_id", "unit", "n").mapInArrow(order, "model string, curve int, key bigint, fine bigint, chunk_id bigint, unit binary, n bigint")
+    tie = F.xxhash64("chunk_id", "curve")  # what shares a key stands in another order on each curve
+    places = ["model", "curve", "key", "fine", "tie"]
+    ordered = orderings.withColumn("tie", tie).repartitionByRange(parts, *places).sortWithinPartitions(*places)
     lists = ordered.select("model", "curve", "key", "chunk_id", "unit", "n").mapInArrow(scan, "model string, chunk_id bigint, ids binary, sims binary")
     gathered = lists.repartition("chunk_id").sortWithinPartitions("chunk_id", "model")
-    return gathered.mapInArrow(merge, "model string, chunk_id bigint, neighbours array<bigint>, cosines array<float>")
+    near = gathered.mapInArrow(merge, "model string, chunk_id bigint, neighbours array<bigint>, cosines array<float>")
+    return _with_copies(near, every, heads, k) if copied else near
+
+
+def _with_copies(near: DataFrame, units: DataFrame, heads: DataFrame, k: int) -> DataFrame:
+    """Lists of one vector of each group of equal ones made lists of all vectors, with all vectors as neighbours.
+
+    ``heads(model, unit, same)``: the k + 1 lowest ids of each group of several; the lowest is the one that has a list.
+    """
+    near = cut(near)
+    groups = heads.select("model", F.col("same")[0].alias("other"), "same")
+    pairs = near.select("model", "chunk_id", F.explode(F.arrays_zip("neighbours", "cosines")).alias("x")).select("model", "chunk_id", F.col("x.neighbours").alias("other"), F.col("x.cosines").alias("cosine"))
+    pairs = pairs.join(groups, ["model", "other"], "left").select("model", "chunk_id", "cosine", F.explode(F.coalesce("same", F.array("other"))).alias("other"))
+    entry = F.struct((-F.col("cosine")).alias("c"), F.col("other").alias("id"))
+    lists = near.select("model", "chunk_id").join(pairs.groupBy("model", "chunk_id").agg(F.slice(F.array_sort(F.collect_list(entry)), 1, k).alias("near")), ["model", "chunk_id"], "left")
+    members = units.join(heads, ["model", "unit"], "left").select("model", F.col("chunk_id").alias("member"), F.coalesce(F.col("same")[0], "chunk_id").alias("chunk_id"), F.coalesce("same", F.array().cast("array<bigint>")).alias("same"))
+    own = F.transform(F.filter("same", lambda i: i != F.col("member")), lambda i: F.struct(F.lit(-1.0).cast("float").alias("c"), i.alias("id")))
+    best = F.slice(F.concat(own, F.coalesce("near", F.array().cast("array<struct<c:float,id:bigint>>"))), 1, k)
+    out = members.join(lists, ["model", "chunk_id"]).select("model", F.col("member").alias("chunk_id"), best.alias("b"))
+    return out.select("model", "chunk_id", F.transform("b", lambda e: e["id"]).alias("neighbours"), F.transform("b", lambda e: -e["c"]).alias("cosines"))
 
 
 def _with_end(batches):

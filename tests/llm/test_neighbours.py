@@ -1,4 +1,6 @@
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from corbel.llm.neighbours import _best, hilbert, mutual_pairs, nearest
 
@@ -59,3 +61,34 @@ def test_identical_vectors_and_empty_table(spark):
     rows = nearest(df).collect()
     assert len(rows) == 2000 and all(len(set(r.neighbours) - {r.chunk_id}) == 10 for r in rows)
     assert nearest(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("cosine", [0.999, 0.9])
+def test_recall_with_a_third_of_the_rows_in_one_group(spark, cosine):
+    rng = np.random.default_rng(9)
+    n, hot = 36_000, 12_000
+    x = rng.normal(size=(n, 64))
+    # Members at this cosine of each other: a common direction and noise of their own.
+    noise = rng.normal(size=(hot, 64))
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    x[:hot] = np.sqrt(cosine) * x[0] / np.linalg.norm(x[0]) + np.sqrt(1 - cosine) * noise
+    rows = pa.table({"chunk_id": np.arange(n), "model": ["a"] * n, "embedding": pa.array(list(x.astype(np.float32)))})
+    got = {r.chunk_id: r.neighbours for r in nearest(spark.createDataFrame(rows)).where("chunk_id % 30 = 0").collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for part in (range(0, hot, 30), range(hot, n, 30)):
+        s = u[list(part)] @ u.T
+        s[np.arange(len(part)), list(part)] = -2
+        best = np.argpartition(-s, 10, axis=1)[:, :10]
+        assert sum(len(set(got[i]) & set(best[r].tolist())) for r, i in enumerate(part)) / (10 * len(part)) >= 0.9
+
+
+def test_equal_vectors_are_neighbours_by_id(spark):
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(3000, 64))
+    x[1000:2500] = x[0]  # half of the rows
+    x[2500:2503] = x[1]
+    got = {r.chunk_id: r for r in nearest(spark.createDataFrame([(i, "a", v.tolist(), 0) for i, v in enumerate(x)], SCHEMA)).collect()}
+    same = [0, *range(1000, 2500)]
+    assert len(got) == 3000 and all(len(r.neighbours) == len(r.cosines) == 10 for r in got.values())
+    assert all(got[i].neighbours == [j for j in same[:11] if j != i][:10] for i in same)
+    assert all(got[i].neighbours[:3] == [j for j in (1, 2500, 2501, 2502) if j != i] for i in (1, 2500, 2501, 2502))
