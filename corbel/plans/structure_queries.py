@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corbel.operators import context, cycles, fusion, graph, ingest, lookup, spans, state
 from corbel.plans.registry import query
+from corbel.plans.source_queries import resolved_edges
 from corbel.plans.text_queries import RANKS, _lists, symbol_edges
-from corbel.session import table
+from corbel.session import cut, table
 
 # The edge stream of `events`: users point to the number in `props`; the type is the edge's kind.
 EDGES = "edges AS (SELECT event_id AS id, user_id AS src, CAST(props ->> '$.k' AS BIGINT) AS dst, event_type AS kind, (event_id % 4 + 1) / 4 AS confidence FROM events)"
@@ -164,6 +167,45 @@ def cycle_report(spark: SparkSession, d: str) -> DataFrame:
     return cycles.cycle_report(parts, cycles.shortest_cycles(edges_of(spark, d), parts, KIND, SURE)).drop("cycle")
 
 
+def _whole(suffix: str, edges: Callable[[SparkSession, str], DataFrame]) -> None:
+    """The traversals and cycles above over every edge, of all kinds and any confidence.
+
+    Their SQL takes a sparse part of the edges, as a recursive closure can't be had for all; these have none.
+    """
+
+    def first(e: DataFrame, n: int = 1) -> DataFrame:
+        return e.select(F.col("src").alias("id")).where("id IS NOT NULL").distinct().orderBy("id").limit(n)
+
+    def report(e: DataFrame) -> DataFrame:
+        parts = cut(cycles.components(e))
+        return cycles.cycle_report(parts, cycles.shortest_cycles(e, parts))
+
+    makers = {
+        "callees": lambda e: graph.callees(e, first(e), 4).select("node", "depth"),
+        "callers_depth1": lambda e: graph.traverse(e, first(e, 3), 1, True).select("start", "node", "depth"),
+        "callers_with_override": lambda e: graph.callers(e, first(e, 5), 3).select("start", "node", "depth"),
+        "blast_radius": lambda e: graph.blast_radius(e, first(e), 6, ()).select("node", "depth"),
+        "blast_radius_by_depth": lambda e: graph.depth_histogram(graph.blast_radius(e, first(e), 6, ())),
+        "blast_radius_multi": lambda e: graph.affected(graph.blast_radius(e, first(e, 4), 3, ())),
+        "traversal_shape": lambda e: graph.shape(graph.blast_radius(e, first(e, 2), 3, ()), 10).select("start", "place", "node", "depth", "confidence", "total", "truncated"),
+        "scc_components": lambda e: cycles.components(e),
+        "cycles_shortest": lambda e: cycles.shortest_cycles(e, cut(cycles.components(e))).select("component", "length"),
+        "cycle_report": lambda e: report(e).drop("cycle"),
+    }
+    for name, make in makers.items():
+
+        def run(spark: SparkSession, d: str, make=make) -> DataFrame:
+            return make(cut(edges(spark, d)))
+
+        run.__name__ = f"{name}_{suffix}"
+        run.__doc__ = f"{name} over all edges."
+        query(None)(run)
+
+
+_whole("all", edges_of)
+_whole("resolved", resolved_edges)
+
+
 NAMES = r"names AS (SELECT DISTINCT query_id || ':' || w AS query_id, w AS name FROM (SELECT query_id, unnest(regexp_extract_all(query_text, '[\w.]*\w')) AS w FROM eval_queries))"
 FOUND = f"""{NAMES}, sym AS (SELECT DISTINCT id, file_id, start_line, name, qualified_name FROM symbols),
     q AS (SELECT n.query_id, s.*, 'qualified' AS match FROM names n JOIN sym s ON s.qualified_name = n.name),
