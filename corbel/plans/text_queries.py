@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import codecs
+import io
+import tokenize
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -156,11 +161,31 @@ def hybrid_graph_boost(spark: SparkSession, d: str) -> DataFrame:
 FILE_TEXT = "files WHERE lower(path) LIKE '%.py' AND text IS NOT NULL"
 
 
+def _readable(batches):
+    """Text of sources that are not UTF-8, lines as they are: by byte order mark or coding comment, wrong bytes replaced."""
+    for b in batches:
+        texts = []
+        for content in b.column(2).to_pylist():
+            encoding = "utf-16"
+            if not content.startswith((codecs.BOM_UTF16_LE, codecs.BOM_UTF16_BE)):
+                try:
+                    encoding, _ = tokenize.detect_encoding(io.BytesIO(content).readline)
+                except (SyntaxError, LookupError, UnicodeError, ValueError):
+                    encoding = "utf-8"
+            try:
+                texts.append(content.decode(encoding, "replace"))
+            except (LookupError, UnicodeError, ValueError):
+                texts.append(content.decode("utf-8", "replace"))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["scope", "path", "text"])
+
+
 @query(None)
 def grep_baseline(spark: SparkSession, d: str) -> DataFrame:
-    """Every evaluation query against the Python files of its repository (files that are UTF-8)."""
-    files = table(spark, d, "files", wide=True).where(F.lower("path").endswith(".py"))
-    sources = files.select(F.col("repo_id").alias("scope"), "path", F.try_validate_utf8(F.col("content").cast("string")).alias("text")).where("text IS NOT NULL")
+    """Every evaluation query against the Python files of its repository, in any encoding."""
+    files = table(spark, d, "files", wide=True).where(F.lower("path").endswith(".py") & F.col("content").isNotNull())
+    read = files.select(F.col("repo_id").alias("scope"), "path", F.try_validate_utf8(F.col("content").cast("string")).alias("text"), "content")
+    plain = read.where("text IS NOT NULL").drop("content")
+    sources = plain.unionByName(read.where("text IS NULL").select("scope", "path", "content").mapInArrow(_readable, plain.schema))
     return grep(sources, table(spark, d, "eval_queries").select("query_id", F.col("repo_id").alias("scope"), "query_text"))
 
 
