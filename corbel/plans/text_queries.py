@@ -247,6 +247,13 @@ def truncate_ascii(spark: SparkSession, d: str) -> DataFrame:
     return c.select("id", F.octet_length(cut).cast("bigint").alias("bytes"), cut.alias("head"))
 
 
+@query(None)
+def truncate_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """Byte truncation of every chunk; truncate_ascii is the part that SQL can check."""
+    cut = T.truncate_bytes(F.col("text"), 40)
+    return table(spark, d, "chunks").select("id", F.octet_length(cut).cast("bigint").alias("bytes"), cut.alias("head"))
+
+
 @query("SELECT id, array_to_string(list_slice(string_split(text, chr(10)), 1, 5), chr(10)) AS head FROM chunks")
 def snippet_lines(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "chunks").select("id", T.truncate_lines(F.col("text"), 5).alias("head"))

@@ -17,3 +17,12 @@ def test_grep_reads_sources_that_are_not_utf8(spark, tmp_path):
     spark.createDataFrame([(5, 1, "retry"), (6, 1, "wei\xdf")], "query_id long, repo_id long, query_text string").write.parquet(f"{d}/eval_queries.parquet")
     got = sorted((r.query_id, r.path, r.line) for r in QUERIES["grep_baseline"](spark, d).collect())
     assert got == [(5, "p0.py", 1), (5, "p1.py", 2), (5, "p2.py", 2), (5, "p3.py", 3), (5, "p4.py", 4), (6, "p1.py", 2)]
+
+
+def test_truncation_takes_every_chunk(spark, tmp_path):
+    d = str(tmp_path)
+    texts = ["", "short", "a" * 50, "é" * 30, "a" * 39 + "é", "a" * 38 + "€uro", "a" * 37 + "😀😀", "€" * 20, "é" * 20, None]
+    spark.createDataFrame(list(enumerate(texts)), "id long, text string").write.parquet(f"{d}/chunks.parquet")
+    want = {i: None if t is None else t.encode()[:40].decode("utf-8", "ignore") for i, t in enumerate(texts)}
+    got = {r.id: (r.head, r.bytes) for r in QUERIES["truncate_bytes"](spark, d).collect()}
+    assert got == {i: (t, None if t is None else len(t.encode())) for i, t in want.items()}
