@@ -36,7 +36,7 @@ _LEXER = "|".join(
 
 def _coding(content: Column) -> Column:
     """Lower-case encoding that a coding comment in the first two lines names; '' without one."""
-    head = F.decode(F.substring(content, 1, 400), "ISO-8859-1")
+    head = F.substring_index(F.decode(content, "ISO-8859-1"), "\n", 2)
     return F.lower(F.regexp_extract(head, r"\A(?:\xEF\xBB\xBF)?(?:[ \t\f]*(?:#[^\n\r]*)?\r?\n)?[ \t\f]*#[^\n\r]*?coding[:=][ \t]*([-\w.]+)", 1))
 
 
@@ -165,8 +165,8 @@ def functions_of(sources: DataFrame, ends: bool = True) -> DataFrame:
     if not ends:
         return out.select("file_id", "start_line", "def_line", F.lit(None).cast("int").alias("end_line"), "docstring", "comment")
     closed = s.where(F.col("indent") <= F.col("prev_indent")).select("file_id", "stmt", F.explode(F.sequence("indent", "prev_indent")).alias("indent"), F.col("prev_last").alias("closed"))
-    finish = s.groupBy("file_id").agg((F.max("stmt") + 1).alias("stmt"), F.max("last").alias("closed")).select("file_id", "stmt", F.explode(F.sequence(F.lit(0), F.lit(400))).alias("indent"), "closed")
-    finish = finish.join(out.select("file_id", "indent").distinct(), ["file_id", "indent"], "left_semi").select("file_id", "stmt", "indent", "closed")
+    finish = s.groupBy("file_id").agg((F.max("stmt") + 1).alias("stmt"), F.max("last").alias("closed"))
+    finish = finish.join(out.select("file_id", "indent").distinct(), "file_id").select("file_id", "stmt", "indent", "closed")
     both = out.select("*", F.lit(None).cast("bigint").alias("closed")).unionByName(closed.unionByName(finish), allowMissingColumns=True)
     back = Window.partitionBy("file_id", "indent").orderBy(F.col("stmt").desc()).rowsBetween(Window.unboundedPreceding, -1)
     both = both.withColumn("end_line", F.last("closed", ignorenulls=True).over(back).cast("int"))

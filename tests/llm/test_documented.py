@@ -100,3 +100,13 @@ def test_pairs(spark):
     assert got[1].documentation == "Liest é." and got[1].signature == "@d\ndef load(a):" and got[1].code.startswith("@d\ndef load") and got[1].code.endswith("return 1")
     assert {r.symbol_id for r in documented_functions(symbols, files, code=False).collect()} == set(got)
     assert documented_functions(symbols.limit(0), files.limit(0)).count() == 0
+
+
+def test_late_coding_line_and_deep_indents(spark):
+    from corbel.llm.documented import sources_of
+
+    late = ("# " + "x" * 500 + "\n# coding: latin-1\ndef f():\n    'Größe des Puffers in Zeilen.'\n").encode("latin-1")
+    deep = b"if 1:\n" + b" " * 450 + b"def g():\n" + b" " * 451 + b"return 1\n"
+    files = spark.createDataFrame([(1, "a.py", late), (2, "b.py", deep)], "id long, path string, content binary")
+    got = {r.file_id: (r.docstring, r.end_line) for r in functions_of(sources_of(files)).collect()}
+    assert got == {1: ("Größe des Puffers in Zeilen.", 4), 2: (None, 3)}
