@@ -79,6 +79,12 @@ def module_names(spark: SparkSession, d: str) -> DataFrame:
     return name_modules(f).join(packaged, "repo_id", "left_anti").select("id", F.col("module_name").alias("module"))
 
 
+@query(None)
+def module_names_all(spark: SparkSession, d: str) -> DataFrame:
+    """Module names of all files, with the packages that module_names leaves out."""
+    return name_modules(_files(spark, d).select("id", "repo_id", "path")).select("id", F.col("module_name").alias("module"))
+
+
 _SKIP = "['" + "','".join(SKIPPED) + "']"
 
 

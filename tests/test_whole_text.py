@@ -26,3 +26,11 @@ def test_truncation_takes_every_chunk(spark, tmp_path):
     want = {i: None if t is None else t.encode()[:40].decode("utf-8", "ignore") for i, t in enumerate(texts)}
     got = {r.id: (r.head, r.bytes) for r in QUERIES["truncate_bytes"](spark, d).collect()}
     assert got == {i: (t, None if t is None else len(t.encode())) for i, t in want.items()}
+
+
+def test_module_names_know_packages(spark, tmp_path):
+    d = str(tmp_path)
+    paths = ["src/pkg/__init__.py", "src/pkg/core.py", "src/pkg/sub/__init__.py", "src/pkg/sub/deep.py", "tool.py", "README.md"]
+    spark.createDataFrame([(i, 1, p) for i, p in enumerate(paths)] + [(9, 2, "src/pkg/core.py")], "id long, repo_id long, path string").write.parquet(f"{d}/files.parquet")
+    got = {r.id: r.module for r in QUERIES["module_names_all"](spark, d).collect()}
+    assert got == {0: "pkg", 1: "pkg.core", 2: "pkg.sub", 3: "pkg.sub.deep", 4: "tool", 5: "", 9: "core"}
