@@ -13,27 +13,58 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def em(freq: np.ndarray, background: np.ndarray, offsets: np.ndarray, weight: float, rounds: int = 500, close: float = 1e-10) -> np.ndarray:
+def _rest(freq: np.ndarray, background: np.ndarray, offsets: np.ndarray, weight: float) -> np.ndarray:
+    """Where the iteration comes to rest, for many records at once.
+
+    At rest each term that keeps mass has p = f / m - c * q with c = (1 - weight) / weight: it explains its occurrences
+    in the same proportion as all others. Terms keep mass in order of f / q, down to the last one for which p is
+    positive when m is fixed by the terms kept, m = sum f / (1 + c * sum q).
+    """
+    sizes = np.diff(offsets)
+    owner, c = np.repeat(np.arange(len(sizes)), sizes), (1 - weight) / weight
+    ratio = freq / background
+    order = np.lexsort((-ratio, owner))
+    before = offsets[:-1]
+    running = lambda v: np.cumsum(v[order]) - np.repeat(np.concatenate([[0.0], np.cumsum(v[order])])[before], sizes)
+    mass, cover = running(freq), running(background)
+    keeps = ratio[order] > c * mass / (1 + c * cover)
+    last = np.maximum.reduceat(np.where(keeps, np.arange(len(freq)), -1), before)  # the first term always keeps mass
+    kept = np.arange(len(freq)) <= last[owner]
+    f, q = np.where(kept, freq[order], 0.0), np.where(kept, background[order], 0.0)
+    m = np.add.reduceat(f, before) / (1 + c * np.add.reduceat(q, before))
+    p = np.empty(len(freq))
+    p[order] = np.where(kept, np.maximum(f / m[owner] - c * q, 0.0), 0.0)
+    return p / np.repeat(np.add.reduceat(p, before), sizes)
+
+
+def em_step(p: np.ndarray, freq: np.ndarray, background: np.ndarray, offsets: np.ndarray, weight: float) -> np.ndarray:
+    """E: the part of a term's occurrences that the record's own model explains. M: those parts, normalised."""
+    part = freq * (weight * p / (weight * p + (1 - weight) * background))
+    return part / np.repeat(np.add.reduceat(part, offsets[:-1]), np.diff(offsets))
+
+
+def em(freq: np.ndarray, background: np.ndarray, offsets: np.ndarray, weight: float, rounds: int = 20, close: float = 1e-9) -> np.ndarray:
     """Converged term probabilities of many records at once; ``offsets`` delimit the (non-empty) records.
 
-    E: the part of a term's occurrences that the record's own model explains. M: those parts, normalised. A record that
-    has converged leaves the iteration, so its result does not depend on the other records of the batch.
+    ``rounds`` steps of expectation-maximisation, then a jump to the point where the steps come to rest, which terms at
+    the edge of keeping mass would approach only like one over the number of steps. A last step shows that it is one:
+    a record that this step still moves by more than ``close`` goes on step by step until it doesn't. So every record
+    is at rest, and its result does not depend on the others of the batch.
     """
     sizes = np.diff(offsets)
     p = freq / np.repeat(np.add.reduceat(freq, offsets[:-1]), sizes)
-    open_, f, q, at = np.arange(len(freq)), freq, (1 - weight) * background, offsets[:-1]
     for _ in range(rounds):
-        now = p[open_]
-        part = f * (weight * now / (weight * now + q))
-        new = part / np.repeat(np.add.reduceat(part, at), sizes)
-        p[open_] = new
-        moving = np.maximum.reduceat(np.abs(new - now), at) > close
-        if not moving.any():
-            break
-        if not moving.all():
-            keep = np.repeat(moving, sizes)
-            open_, f, q, sizes = open_[keep], f[keep], q[keep], sizes[moving]
-            at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        p = em_step(p, freq, background, offsets, weight)
+    rest = _rest(freq, background, offsets, weight)
+    after = em_step(rest, freq, background, offsets, weight)
+    moving = np.maximum.reduceat(np.abs(after - rest), offsets[:-1]) > close
+    if not moving.any():
+        return rest
+    p = np.where(np.repeat(moving, sizes), p, rest)
+    while moving.any():
+        new = em_step(p, freq, background, offsets, weight)
+        moving &= np.maximum.reduceat(np.abs(new - p), offsets[:-1]) > close
+        p = np.where(np.repeat(moving, sizes), new, p)
     return p
 
 

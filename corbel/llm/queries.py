@@ -18,8 +18,9 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Scores of all terms of all chunks."""
-    return distinctive.term_distinctiveness(table(spark, d, "postings"), table(spark, d, "bm25_docs"))
+    """Scores of all terms of all chunks, to eight places."""
+    scored = distinctive.term_distinctiveness(table(spark, d, "postings"), table(spark, d, "bm25_docs"))
+    return scored.withColumns({"prob": F.round("prob", 8), "score": F.round("score", 8)})
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -116,6 +117,20 @@ def oracle_sql() -> dict[str, str]:
             k AS (SELECT chunk_id, arg_max(fs / (1 + 999 * qs), fs) AS mu FROM c WHERE r > 999 * fs / (1 + 999 * qs) GROUP BY 1),
             s AS (SELECT c.chunk_id, term, row_number() OVER (PARTITION BY c.chunk_id ORDER BY greatest(0, f / mu - 999 * q) DESC, r DESC, term) AS n FROM c JOIN k USING (chunk_id))
             SELECT chunk_id, term FROM s WHERE n = 1""",
+        # The same fixed point for every term of every chunk.
+        "p1_scores": """
+            WITH pairs AS (SELECT term, chunk_id, max(CASE WHEN freq > 0 THEN freq END) AS f FROM postings WHERE term IS NOT NULL AND chunk_id IS NOT NULL GROUP BY 1, 2),
+            spread AS (SELECT term, count(*) AS df FROM pairs GROUP BY 1),
+            bg AS (SELECT term, df, df / (SELECT sum(df) FROM spread) AS q FROM spread),
+            entries AS (SELECT chunk_id, unnest(map_entries(term_freq)) AS e FROM bm25_docs WHERE term_freq IS NOT NULL AND chunk_id IN (SELECT chunk_id FROM pairs WHERE f IS NULL)),
+            maps AS (SELECT chunk_id, e.key AS term, max(e.value) AS g FROM entries GROUP BY 1, 2),
+            t AS (SELECT p.chunk_id, p.term, CAST(coalesce(f, CASE WHEN g > 0 THEN g END, 1) AS INT) AS f, df, q FROM pairs p JOIN bg USING (term) LEFT JOIN maps m ON m.chunk_id = p.chunk_id AND m.term = p.term),
+            c AS (SELECT *, f / q AS r, sum(f) OVER w AS fs, sum(q) OVER w AS qs FROM t
+                  WINDOW w AS (PARTITION BY chunk_id ORDER BY f / q DESC ROWS UNBOUNDED PRECEDING)),
+            k AS (SELECT chunk_id, arg_max(fs / (1 + 999 * qs), fs) AS mu, max(fs) AS kept FROM c WHERE r > 999 * fs / (1 + 999 * qs) GROUP BY 1),
+            s AS (SELECT c.*, CASE WHEN fs <= kept THEN greatest(0, f / mu - 999 * q) ELSE 0.0 END AS p FROM c JOIN k USING (chunk_id))
+            SELECT chunk_id, term, f AS freq, df, round(p, 8) AS prob, round(CASE WHEN p > 0 THEN p * ln(p / q) ELSE 0 END, 8) AS score,
+                   CAST(row_number() OVER (PARTITION BY chunk_id ORDER BY p DESC, r DESC, term) AS INT) AS rank FROM s""",
         # Brute force over all pairs of usable vectors of a model.
         "p2_found": """
             WITH v AS (SELECT DISTINCT model, chunk_id, CAST(embedding AS DOUBLE[]) AS e FROM vectors WHERE chunk_id IS NOT NULL AND model IS NOT NULL AND len(embedding) = 64
