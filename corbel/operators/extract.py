@@ -1,27 +1,31 @@
 """Python source facts as tables: symbols, diagnostics, chunks, and the resolved reference graph.
 
-Files are read and parsed where they lie, one at a time; only small rows move afterwards. Resolution needs a whole
-snapshot's names, so its unit is one repository snapshot's facts (never its sources), a few hundred bytes for a file.
+Files are read and parsed where they lie, one at a time; only small rows move afterwards.
 """
 
 from __future__ import annotations
 
-import json
 from dataclasses import asdict
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 from corbel.operators.ingest import global_ids
 from corbel.operators.python_chunks import FileChunker, text_chunks
 from corbel.operators.python_source import decode, parse, references, symbols
-from corbel.operators.resolve import Resolver, source
-from corbel.session import cut
+from corbel.operators.resolve import MANY, by_bare_name, resolve_all
 
 SYMBOLS = "file_id bigint, temp_id int, kind string, name string, qualified_name string, temp_parent int, start_line int, end_line int, signature string, docstring string"
 CHUNKS = "file_id bigint, place int, temp_symbol int, start_line int, end_line int, text string, context_header string, token_count int"
-FACTS = "file_id bigint, repo_id bigint, path string, module_name string, symbols string, facts string"
+#: What resolution needs of a file; see :func:`corbel.operators.python_source.references`.
+FACTS = (
+    "file_id bigint, repo_id bigint, path string, module_name string, symbols array<struct<temp:int,kind:string,name:string,parent:int,start:int>>, "
+    "imports array<struct<form:string,level:int,written:string,alias:string,names:array<struct<name:string,alias:string>>,star:boolean>>, "
+    "scopes array<struct<id:int,form:string,symbol:int,up:array<int>,cls:int,me:string>>, binds array<struct<scope:int,name:string,ctor:array<string>>>, "
+    "bases array<struct<symbol:int,scope:int,parts:array<string>>>, calls array<struct<scope:int,form:string,parts:array<string>>>"
+)
 
 
 def is_python(path: Column) -> Column:
@@ -111,8 +115,18 @@ def number_chunks(extracted: DataFrame, numbered: DataFrame) -> DataFrame:
     return c.select("id", "symbol_id", "file_id", "start_line", "end_line", "text", "context_header", "token_count")
 
 
+def _arrow(kind: DataType) -> pa.DataType:
+    if isinstance(kind, ArrayType):
+        return pa.list_(_arrow(kind.elementType))
+    if isinstance(kind, StructType):
+        return pa.struct([(f.name, _arrow(f.dataType)) for f in kind])
+    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}[kind.simpleString()]
+
+
 def extract_facts(files: DataFrame) -> DataFrame:
-    """What resolution needs of each Python file, as two JSON columns."""
+    """What resolution needs of each Python file: a few hundred bytes of nested rows; its source stays where it lies."""
+    schema = StructType.fromDDL(FACTS)
+    kinds = {f.name: _arrow(f.dataType) for f in schema}
 
     def run(batches):
         for b in batches:
@@ -123,37 +137,16 @@ def extract_facts(files: DataFrame) -> DataFrame:
                     continue
                 parsed = parse(text)
                 found, of = symbols(parsed, r["module_name"])
-                brief = [(s.id, s.kind, s.name, s.parent, s.start_line) for s in found]
-                out.append((r["id"], r["repo_id"], r["path"], r["module_name"], json.dumps(brief), json.dumps(references(parsed, of))))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names=[x.split()[0] for x in FACTS.split(", ")])
-
-    return _sources(files, "repo_id").mapInArrow(run, FACTS)
+                brief = [{"temp": s.id, "kind": s.kind, "name": s.name, "parent": s.parent, "start": s.start_line} for s in found]
+                out.append({"file_id": r["id"], "repo_id": r["repo_id"], "path": r["path"], "module_name": r["module_name"], "symbols": brief, **references(parsed, of)})
+            yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], t) for c, t in kinds.items()], names=list(kinds))
 
-
-RESOLVED = "repo_id bigint, what string, src_file bigint, src_temp int, dst_file bigint, dst_temp int, kind string, name string, confidence double, label string, n bigint"
+    return _sources(files, "repo_id").mapInArrow(run, schema)
 
 
 def resolve_snapshots(facts: DataFrame) -> DataFrame:
-    """Everything resolution finds in each repository snapshot, in one table that is computed once.
-
-    ``what``: edge (with confidence), missing (label external or internal), import (label stdlib, third-party, resolved
-    or unresolved), count (references by kind; label resolved, external or unresolved).
-    """
-
-    def run(t: pa.Table) -> pa.Table:
-        rows = sorted(t.to_pylist(), key=lambda r: (r["path"] or "", r["file_id"]))
-        repo = rows[0]["repo_id"] if rows else None
-        r = Resolver([source(x["file_id"], x["path"] or "", x["module_name"], json.loads(x["symbols"]), json.loads(x["facts"])) for x in rows]).run()
-        out: list[tuple] = [("edge", a.file, a.temp, b.file, b.temp, kind, None, c, None, None) for (a, b, kind), c in r.edges.items()]
-        out += [("missing", a.file, a.temp, None, None, kind, name, None, "external" if ext else "internal", None) for (a, name, kind), ext in r.missing.items()]
-        out += [("import", a.file, a.temp, b and b.file, b and b.temp, "imports", name, None, label or ("resolved" if ok else "unresolved"), None) for a, name, b, label, ok in r.imports]
-        out += [("count", None, None, None, None, kind, None, None, label, n) for kind, c in r.counts.items() for label, n in zip(("resolved", "external", "unresolved"), c, strict=True)]
-        kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.string(), pa.int64()]
-        cols = [pa.array([repo] * len(out), pa.int64()), *[pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)]]
-        return pa.Table.from_arrays(cols, names=[x.split()[0] for x in RESOLVED.split(", ")])
-
-    return cut(facts.groupBy("repo_id").applyInArrow(run, RESOLVED))
+    """Everything resolution finds in each repository snapshot; see :func:`corbel.operators.resolve.resolve_all`."""
+    return resolve_all(facts)
 
 
 def edges_of(resolved: DataFrame, numbered: DataFrame) -> DataFrame:
@@ -185,13 +178,8 @@ def edge_histogram(edges: DataFrame) -> DataFrame:
     return edges.groupBy("kind", "confidence").agg(F.count(F.lit(1)).alias("edges"))
 
 
-def name_fallback(methods: DataFrame, calls: DataFrame, many: int = 5) -> DataFrame:
-    """Calls on receivers of unknown type, bound by the method's name alone, as a join.
-
-    ``methods(repo_id, id, name)``, ``calls(repo_id, src, name)``. One method of that name: 0.5; two to ``many``: 0.25
-    to each; more, or a special method: none. Returns ``(repo_id, src, dst, confidence)``.
-    """
-    few = methods.groupBy("repo_id", "name").agg(F.countDistinct("id").alias("n")).where(F.col("n") <= many)
-    usable = calls.where(~(F.col("name").startswith("__") & F.col("name").endswith("__"))).select("repo_id", "src", "name").distinct()
-    hit = usable.join(few, ["repo_id", "name"]).join(methods.select("repo_id", "name", F.col("id").alias("dst")).distinct(), ["repo_id", "name"])
-    return hit.select("repo_id", "src", "dst", F.when(F.col("n") == 1, 0.5).otherwise(0.25).alias("confidence"))
+def name_fallback(methods: DataFrame, calls: DataFrame, many: int = MANY) -> DataFrame:
+    """``(repo_id, src, dst, confidence)``: calls on receivers of unknown type, bound by the method's name alone, by the
+    resolver's own rule. ``methods(repo_id, id, name)``, ``calls(repo_id, src, name)``."""
+    bare = by_bare_name(methods.select("repo_id", "name", F.col("id").alias("dst")), calls, many)
+    return calls.select("repo_id", "src", "name").distinct().join(bare, ["repo_id", "name"]).select("repo_id", "src", "dst", "confidence")

@@ -255,160 +255,94 @@ def import_lines(parsed: Parsed) -> list[tuple[str, list[str]]]:
 
 
 # -- scopes, bases and calls for resolution -----------------------------------------------------------------------------
-def chain_of(node: ast.expr) -> list[str] | None:
-    """``a.b.c`` as its parts, if every link is a plain name."""
-    parts = []
+def dotted(node: ast.AST | None) -> list[str] | None:
+    """``a.b.c`` as its parts; null for anything else."""
+    names: list[str] = []
     while isinstance(node, ast.Attribute):
-        parts.append(node.attr)
+        names.insert(0, node.attr)
         node = node.value
-    return [*([node.id] if isinstance(node, ast.Name) else []), *reversed(parts)] if isinstance(node, ast.Name) else None
-
-
-class _Locals(ast.NodeVisitor):
-    """How often names are bound in a body, and by which constructor; inner definitions and lambdas are other scopes."""
-
-    def __init__(self) -> None:
-        self.count: dict[str, int] = {}
-        self.ctor: dict[str, list[str]] = {}
-
-    def add(self, name: str | None) -> None:
-        if name:
-            self.count[name] = self.count.get(name, 0) + 1
-
-    def bind(self, target: ast.expr | None) -> None:
-        if isinstance(target, ast.Name):
-            self.add(target.id)
-        elif isinstance(target, ast.Tuple | ast.List):
-            for t in target.elts:
-                self.bind(t)
-        elif isinstance(target, ast.Starred):
-            self.bind(target.value)
-
-    def visit_FunctionDef(self, n) -> None:
-        self.add(n.name)
-
-    visit_AsyncFunctionDef = visit_ClassDef = visit_FunctionDef
-
-    def visit_Lambda(self, n) -> None:
-        return
-
-    def _made(self, target: ast.expr, value: ast.expr | None) -> None:
-        if isinstance(target, ast.Name) and isinstance(value, ast.Call) and (chain := chain_of(value.func)) and chain[0] != target.id:
-            self.ctor[target.id] = chain
-
-    def visit_Assign(self, n) -> None:
-        self._made(n.targets[-1], n.value)
-        for t in n.targets:
-            self.bind(t)
-        self.generic_visit(n)
-
-    def visit_AnnAssign(self, n) -> None:
-        self._made(n.target, n.value)
-        self.bind(n.target)
-        self.generic_visit(n)
-
-    def visit_AugAssign(self, n) -> None:
-        self.bind(n.target)
-        self.generic_visit(n)
-
-    visit_For = visit_AsyncFor = visit_comprehension = visit_NamedExpr = visit_AugAssign
-
-    def visit_withitem(self, n) -> None:
-        self.bind(n.optional_vars)
-        self.generic_visit(n)
-
-    def visit_ExceptHandler(self, n) -> None:
-        self.add(n.name)
-        self.generic_visit(n)
-
-    def visit_MatchAs(self, n) -> None:
-        if n.pattern is not None:
-            self.add(n.name)
-        self.generic_visit(n)
-
-
-def _parameters(a: ast.arguments) -> list[str]:
-    every = [*a.posonlyargs, *a.args, *([a.vararg] if a.vararg else []), *a.kwonlyargs, *([a.kwarg] if a.kwarg else [])]
-    return [p.arg for p in every]
-
-
-def references(parsed: Parsed, of: dict[ast.stmt, Symbol]) -> dict:
-    """What resolution needs of a file, as plain lists: imports, scopes, class bases, and calls with their scopes.
-
-    A scope is ``(symbol, parent scope, names local to a function or null, constructors by name, class, self name)``.
-    Calls are ``(scope, form, parts)`` with form chain, super, attribute of an expression, or dynamic.
+    return [node.id, *names] if isinstance(node, ast.Name) else None
+
+
+def _made_by(node: ast.AST) -> tuple[str, list[str]] | None:
+    """The name an assignment gives to the result of a call, and what is called."""
+    match node:
+        case ast.Assign(targets=[*_, ast.Name(id=name)], value=ast.Call(func=f)) | ast.AnnAssign(target=ast.Name(id=name), value=ast.Call(func=f)):
+            called = dotted(f)
+            return (name, called) if called and called[0] != name else None
+    return None
+
+
+def _bound_name(node: ast.AST) -> str | None:
+    """The name that this very node binds in its scope."""
+    match node:
+        case ast.Name(id=name, ctx=ast.Store()) | ast.arg(arg=name) | ast.ExceptHandler(name=name):
+            return name
+        case ast.MatchAs(name=name, pattern=ast.pattern()):
+            return name
+        case ast.FunctionDef(name=name) | ast.AsyncFunctionDef(name=name) | ast.ClassDef(name=name):
+            return name
+    return None
+
+
+def _call_row(scope: int, f: ast.expr) -> dict:
+    """A call's form: super, a dotted chain, an attribute of some expression, or dynamic."""
+    match f:
+        case ast.Attribute(value=ast.Call(func=ast.Name(id="super")), attr=name):
+            return {"scope": scope, "form": "super", "parts": [name]}
+        case ast.Attribute(attr=name):
+            chain = dotted(f)
+            return {"scope": scope, "form": "chain" if chain else "attribute", "parts": chain or [name]}
+        case ast.Name(id=name):
+            return {"scope": scope, "form": "chain", "parts": [name]}
+    return {"scope": scope, "form": "dynamic", "parts": []}
+
+
+def references(parsed: Parsed, of: dict[ast.stmt, Symbol]) -> dict[str, list[dict]]:
+    """What resolution needs of a file, as rows: imports, scopes, events that bind a name, class bases, and calls.
+
+    A scope has its symbol, the scopes around it from itself outwards, and, in methods and what they hold, the class and
+    the name of the instance. An event names the call that made the value, if there is one. Nodes are visited in source
+    order from a stack, so nesting is not bounded by the interpreter's own.
     """
-    imports: list = []
-    scopes: list = []
-    classes: list = []
-    calls: list = []
-
-    def module_scope() -> int:
-        found = _Locals()
-        for s in parsed.body:
-            found.visit(s)
-        scopes.append((1, None, None, {k: v for k, v in found.ctor.items() if found.count.get(k) == 1}, None, None))
-        return 0
-
-    def visit(n: ast.AST, scope: int) -> None:
+    out: dict[str, list[dict]] = {"imports": [], "scopes": [{"id": 0, "form": "module", "symbol": 1, "up": [0], "cls": None, "me": None}], "binds": [], "bases": [], "calls": []}
+
+    def enter(form: str, node: ast.stmt, scope: int, cls: int | None, me: str | None) -> int:
+        number = len(out["scopes"])
+        out["scopes"].append({"id": number, "form": form, "symbol": of[node].id, "up": [number, *out["scopes"][scope]["up"]], "cls": cls, "me": me})
+        return number
+
+    todo: list[tuple[ast.AST, int, bool]] = [(s, 0, True) for s in reversed(parsed.body)]  # node, scope, whether names are bound there
+    while todo:
+        n, scope, binds = todo.pop()
+        made = _made_by(n)
+        if binds and (name := _bound_name(n)):
+            out["binds"].append({"scope": scope, "name": name, "ctor": None})
+        inside: list[tuple[ast.AST, int, bool]] = []
         if isinstance(n, ast.Import):
-            imports.extend(("plain", 0, a.name, a.asname or "", [], False) for a in n.names)
-            return
-        if isinstance(n, ast.ImportFrom):
-            names = [(a.name, a.asname or "") for a in n.names if a.name != "*"]
-            imports.append(("from", n.level, n.module or "", "", names, any(a.name == "*" for a in n.names)))
-            return
-        if isinstance(n, ast.ClassDef):
-            for d in n.decorator_list:
-                visit(d, scope)
-            for b in [*n.bases, *n.keywords]:
-                visit(b, scope)
-            bases = []
-            for b in n.bases:
-                plain = b.value if isinstance(b, ast.Subscript) else b
-                bases.append(chain_of(plain))
-            classes.append((of[n].id, scope, bases))
-            scopes.append((of[n].id, scope, None, {}, None, None))
-            inner = len(scopes) - 1
-            for s in n.body:
-                visit(s, inner)
-            return
-        if isinstance(n, FUNCTIONS):
-            for d in n.decorator_list:
-                visit(d, scope)
-            visit(n.args, scope)
-            if n.returns:
-                visit(n.returns, scope)
-            found, names = _Locals(), _parameters(n.args)
-            for p in names:
-                found.add(p)
-            for s in n.body:
-                found.visit(s)
-            sym, outer = of[n], scopes[scope]
-            own = (outer[0], names[0] if names else "") if sym.kind == "method" else (outer[4], outer[5])
-            scopes.append((sym.id, scope, sorted(found.count), {k: v for k, v in found.ctor.items() if found.count[k] == 1}, *own))
-            inner = len(scopes) - 1
-            for s in n.body:
-                visit(s, inner)
-            return
-        if isinstance(n, ast.Call):
-            f = n.func
-            if isinstance(f, ast.Name):
-                calls.append((scope, "chain", [f.id]))
-            elif isinstance(f, ast.Attribute):
-                v = f.value
-                if isinstance(v, ast.Call) and isinstance(v.func, ast.Name) and v.func.id == "super":
-                    calls.append((scope, "super", [f.attr]))
-                elif chain := chain_of(f):
-                    calls.append((scope, "chain", chain))
-                else:
-                    calls.append((scope, "attribute", [f.attr]))
-            else:
-                calls.append((scope, "dynamic", []))
-        for c in ast.iter_child_nodes(n):
-            visit(c, scope)
-
-    top = module_scope()
-    for s in parsed.body:
-        visit(s, top)
-    return {"imports": imports, "scopes": scopes, "classes": classes, "calls": calls}
+            out["imports"] += [{"form": "plain", "level": 0, "written": a.name, "alias": a.asname or "", "names": [], "star": False} for a in n.names]
+        elif isinstance(n, ast.ImportFrom):
+            names = [{"name": a.name, "alias": a.asname or ""} for a in n.names if a.name != "*"]
+            out["imports"].append({"form": "from", "level": n.level, "written": n.module or "", "alias": "", "names": names, "star": len(names) < len(n.names)})
+        elif isinstance(n, ast.ClassDef):
+            plain = [b.value if isinstance(b, ast.Subscript) else b for b in n.bases]
+            out["bases"] += [{"symbol": of[n].id, "scope": scope, "parts": dotted(b)} for b in plain]
+            body = enter("class", n, scope, None, None)
+            inside = [(x, scope, False) for x in [*n.decorator_list, *n.bases, *n.keywords]] + [(x, body, False) for x in n.body]
+        elif isinstance(n, FUNCTIONS):
+            around = out["scopes"][scope]
+            parameters = [x for x in ast.iter_child_nodes(n.args) if isinstance(x, ast.arg)]
+            first = [p.arg for p in [*n.args.posonlyargs, *n.args.args, *([n.args.vararg] if n.args.vararg else []), *n.args.kwonlyargs, *([n.args.kwarg] if n.args.kwarg else [])]][:1]
+            own = (around["symbol"], "".join(first)) if of[n].kind == "method" else (around["cls"], around["me"])
+            body = enter("function", n, scope, *own)
+            out["binds"] += [{"scope": body, "name": p.arg, "ctor": None} for p in parameters]
+            inside = [(x, scope, False) for x in [*n.decorator_list, n.args, *([n.returns] if n.returns else [])]] + [(x, body, True) for x in n.body]
+        else:
+            if isinstance(n, ast.Call):
+                out["calls"].append(_call_row(scope, n.func))
+            binds = binds and not isinstance(n, ast.Lambda)
+            inside = [(x, scope, binds) for x in ast.iter_child_nodes(n)]
+        if made and binds:
+            out["binds"].append({"scope": scope, "name": made[0], "ctor": made[1]})
+        todo += reversed(inside)
+    return out

@@ -8,7 +8,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from corbel.operators.extract import FACTS
 from corbel.operators.lookup import closed_set
 
 SYMBOL_KINDS = ["module", "class", "function", "method", "variable"]
@@ -18,7 +20,7 @@ SCHEMAS = {
     "repos": "id bigint, root string, commit_sha string, indexed_at timestamp, embedding_provider string, embedding_model string",
     "files": "id bigint, repo_id bigint, path string, language string, content binary, content_hash string, module_name string",
     "symbols": "id bigint, repo_id bigint, file_id bigint, kind string, name string, qualified_name string, parent_id bigint, start_line int, end_line int, signature string, docstring string, temp_id int",
-    "facts": "file_id bigint, repo_id bigint, path string, module_name string, symbols string, facts string",
+    "facts": FACTS,
     "edges": "id bigint, repo_id bigint, src bigint, dst bigint, kind string, confidence double",
     "unresolved_refs": "repo_id bigint, src bigint, name string, kind string, external boolean",
     "chunks": "id bigint, repo_id bigint, symbol_id bigint, file_id bigint, start_line int, end_line int, text string, context_header string, token_count int",
@@ -60,7 +62,7 @@ class Store:
         return df.where(F.col("repo_id") == repo_id) if repo_id is not None and "repo_id" in df.columns else df
 
     def replace(self, name: str, df: DataFrame) -> None:
-        cols = [c.split()[0] for c in SCHEMAS[name].split(", ")]
+        cols = StructType.fromDDL(SCHEMAS[name]).names
         w = validated(name, df).select(*cols).write.mode("overwrite")
         if "repo_id" in cols:
             w = w.partitionBy("repo_id").option("partitionOverwriteMode", "dynamic")
