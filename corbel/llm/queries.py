@@ -94,12 +94,19 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_spans(spark: SparkSession, d: str) -> DataFrame:
-    """Each document's shared spans and the share of its text they cover."""
-    return shared_spans.SharedSpans(table(spark, d, "documents")).spans()
+    """Each document's shared spans, as ``start-end`` in their order, and the share of its text they cover."""
+    found = shared_spans.SharedSpans(table(spark, d, "documents")).spans()
+    written = F.array_join(F.transform("spans", lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["end"].cast("string"))), ",")
+    return found.select("doc_id", written.alias("spans"), "shared_chars", F.round("share", 8).alias("share"))
+
+
+def p9_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of text that documents share, with the number of documents, instead of pairs."""
+    return shared_spans.SharedSpans(table(spark, d, "documents")).span_classes()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_scores, p2_found, p2_neighbours, p3_found, p3_flags, p3_rates, p4_found, p4_pieces, p5_found, p5_pairs, p6_found, p6_ranking, p7_ids, p8_containers, p9_found, p9_spans)}
+    return {f.__name__: f for f in (p1_found, p1_scores, p2_found, p2_neighbours, p3_found, p3_flags, p3_rates, p4_found, p4_pieces, p5_found, p5_pairs, p6_found, p6_ranking, p7_ids, p8_containers, p9_found, p9_spans, p9_classes)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -157,5 +164,16 @@ def oracle_sql() -> dict[str, str]:
             x AS (SELECT DISTINCT list_sort(ids) AS ids FROM m),
             y AS (SELECT ids, unnest(ids) AS a FROM x)
             SELECT DISTINCT a AS doc_id_a, b AS doc_id_b FROM (SELECT a, unnest(ids) AS b FROM y) WHERE a < b""",
+        # The same substrings, joined where they touch.
+        "p9_spans": """
+            WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL),
+            p AS (SELECT doc_id, text, unnest(range(1, CAST(length(text) - 198 AS BIGINT))) AS i FROM d WHERE length(text) >= 200),
+            g AS (SELECT doc_id, i - 1 AS i, substr(text, i, 200) AS gram FROM p),
+            m AS (SELECT gram FROM g GROUP BY 1 HAVING count(DISTINCT doc_id) > 1),
+            s AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS fresh FROM g SEMI JOIN m USING (gram)),
+            k AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM s),
+            f AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM k GROUP BY doc_id, island),
+            t AS (SELECT doc_id, string_agg(a || '-' || b, ',' ORDER BY a) AS spans, sum(b - a) AS n FROM f GROUP BY 1)
+            SELECT d.doc_id, coalesce(spans, '') AS spans, CAST(coalesce(n, 0) AS INT) AS shared_chars, round(CASE WHEN length(text) > 0 THEN coalesce(n, 0) / length(text) ELSE 0 END, 8) AS share FROM d LEFT JOIN t USING (doc_id)""",
         "p4_found": "SELECT DISTINCT id AS chunk_id FROM chunks WHERE strlen(text) > 4096",
     }

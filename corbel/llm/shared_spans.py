@@ -1,11 +1,13 @@
-"""Problem 9: long exact spans that records share, by parsing each record relative to indexed blocks of all records.
-
-The reference is the collection itself. Its index holds anchors: of every ``window`` consecutive ``gram``-character
-strings the ones with the smallest hash, so any two records that share ``span = gram + window - 1`` characters also
-share an anchor inside them. Around an anchor lies a block of ``span - gram`` characters to either side. A record is
-factored against every other block of the same anchor: the match is grown to both sides, and a factor of at least
-``span`` characters is a shared span. As an anchor starts in every ``window`` characters of a shared stretch, factors
-clipped at block borders join without gaps; a longer span is their union.
+"""Problem 9: long exact spans that records share, by relative Lempel-Ziv parsing against indexed blocks of all records.
+
+The reference is the collection itself, in blocks. Anchors choose the blocks a record must be parsed against: of every
+``window`` consecutive ``gram``-character strings the ones with the smallest hash, so any two records that share
+``span = gram + window - 1`` characters also share an anchor inside them, and around it a block of ``span - gram``
+characters to either side. Equal blocks are one reference block. A block is factored greedily, from left to right,
+relative to another: each factor is the longest piece of the other block that begins there, found in the block's index
+of substrings, and the search goes on a span before the factor's end, so that no span is lost at a border. Factors of at
+least ``span`` characters are shared spans; as an anchor starts in every ``window`` characters of a shared stretch,
+factors clipped at block borders join without gaps in the record.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 
 from corbel.session import cut
 
+LEAD = "struct<doc:bigint,first:int>"
 _BASE = 0x5851F42D4C957F2D  # odd multiplier of the rolling hash, modulo 2**64
 _U = np.uint64
 
@@ -139,38 +142,74 @@ def _anchor_rows(docs: DataFrame, gram: int, window: int) -> DataFrame:
     return docs.where(F.length("text") >= span).select("doc", "text").mapInArrow(run, "anchor bigint, doc bigint, first int, last int")
 
 
-def _blocks(shared: DataFrame, docs: DataFrame, gram: int, reach: int) -> DataFrame:
-    """The text around each anchor: ``(anchor, n, doc, first, last, before, after)``; ``before`` is read backwards."""
-    places = shared.groupBy("doc").agg(F.collect_list(F.struct("anchor", "n", "first", "last")).alias("a"))
-    both = docs.select("doc", "text").join(places, "doc")
+def _shared_places(rows: DataFrame, salts: int = 16) -> DataFrame:
+    """Rows of anchors that stand in several documents.
+
+    Counted by anchor and salt first, so an anchor in a third of all documents is spread over tasks; the rows' own
+    exchange serves both the count and the choice.
+    """
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(salts)).cast("int")).repartition("anchor", "salt")
+    part = salted.groupBy("anchor", "salt").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
+    several = part.groupBy("anchor").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
+    wanted = several.select("anchor", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    return salted.join(wanted, ["anchor", "salt"], "left_semi").drop("salt")
+
+
+def _blocks(places: DataFrame, docs: DataFrame, gram: int, reach: int, bound: int = 1 << 17) -> DataFrame:
+    """The text around each place: ``(anchor, doc, first, last, at, block)``; the anchor begins ``at`` characters into it.
+
+    ``places`` are stored; up to ``bound`` of them (some MB) go to the texts by broadcast, more meet them by shuffle.
+    """
+    few = places.limit(bound + 1).count() <= bound
+    lists = places.groupBy("doc").agg(F.collect_list(F.struct("anchor", "first", "last")).alias("a"))
+    both = docs.select("doc", "text").join(F.broadcast(lists) if few else lists, "doc")
 
     def run(batches):
         for b in batches:
-            docs_, texts, lists = b.column("doc"), b.column("text").to_pylist(), b.column("a")
-            flat, offsets = lists.flatten(), lists.offsets.to_numpy()
-            offsets = offsets - offsets[0]
-            owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
+            docs_, texts, lists_ = b.column("doc"), b.column("text").to_pylist(), b.column("a")
+            flat, offsets = lists_.flatten(), lists_.offsets.to_numpy()
+            owner = np.repeat(np.arange(len(texts)), np.diff(offsets - offsets[0]))
             first = flat.field("first").to_numpy()
-            before, middle, after = [], [], []
-            for o, p in zip(owner.tolist(), first.tolist(), strict=True):
-                t = texts[o]
-                before.append(t[max(0, p - reach) : p][::-1])
-                middle.append(t[p : p + gram])
-                after.append(t[p + gram : p + gram + reach])
+            start = np.maximum(first - reach, 0)
+            text = [texts[o][lo : p + gram + reach] for o, lo, p in zip(owner.tolist(), start.tolist(), first.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [flat.field("anchor"), flat.field("n"), docs_.take(pa.array(owner)), flat.field("first"), flat.field("last"), pa.array(before, pa.string()), pa.array(middle, pa.string()), pa.array(after, pa.string())],
-                names=["anchor", "n", "doc", "first", "last", "before", "middle", "after"],
+                [flat.field("anchor"), docs_.take(pa.array(owner)), flat.field("first"), flat.field("last"), pa.array((first - start).astype(np.int32)), pa.array(text, pa.string())],
+                names=["anchor", "doc", "first", "last", "at", "block"],
             )
 
-    return both.mapInArrow(run, "anchor bigint, n bigint, doc bigint, first int, last int, before string, middle string, after string")
+    return both.mapInArrow(run, "anchor bigint, doc bigint, first int, last int, at int, block string")
+
+
+def _cuts(contents: DataFrame, span: int) -> DataFrame:
+    """Every span-long substring of each block: ``(anchor, place, cut, previous, lead, lo, hi)``, the index that chooses
+    which blocks are parsed against each other. ``place`` counts from the anchor; ``previous`` is the substring before."""
+
+    def run(batches):
+        for b in batches:
+            rows, places, cuts, before = [], [], [], []
+            for i, (at, block) in enumerate(zip(b.column("at").to_pylist(), b.column("block").to_pylist(), strict=True)):
+                n = len(block) - span + 1
+                if n > 0:
+                    h = Rolling(np.frombuffer(block.encode("utf-32-le", "surrogatepass"), np.uint32)).grams(slice(None), span).view(np.int64)
+                    rows.append(np.full(n, i))
+                    places.append(np.arange(n) - at)
+                    cuts.append(h)
+                    before.append(np.concatenate([[0], h[:-1]]))
+            if not rows:
+                continue
+            row = pa.array(np.concatenate(rows))
+            head = np.concatenate([np.arange(len(x)) == 0 for x in cuts])
+            mine = [pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(cuts)), pa.array(np.concatenate(before), mask=head)]
+            yield pa.RecordBatch.from_arrays([b.column("anchor").take(row), *mine, b.column("lead").take(row), b.column("lo").take(row), b.column("hi").take(row)], names=["anchor", "place", "cut", "previous", "lead", "lo", "hi"])
+
+    return contents.select("anchor", "at", "block", "lead", "lo", "hi").mapInArrow(run, f"anchor bigint, place int, cut bigint, previous bigint, lead {LEAD}, lo bigint, hi bigint")
 
 
 def _common(a: str, b: str) -> int:
     """Length of the common prefix."""
     if a == b:
         return len(a)
-    n = min(len(a), len(b))
-    lo, hi = 0, n
+    lo, hi = 0, min(len(a), len(b))
     while lo < hi:
         mid = (lo + hi + 1) // 2
         if a[:mid] == b[:mid]:
@@ -180,58 +219,59 @@ def _common(a: str, b: str) -> int:
     return lo
 
 
-def _factors_of_small_groups(blocks: DataFrame, gram: int, reach: int) -> DataFrame:
-    """Factors between the blocks of one anchor, pair by pair; the caller bounds the group."""
-    groups = blocks.groupBy("anchor").agg(F.collect_list(F.struct("doc", "first", "last", "before", "middle", "after")).alias("g"))
+def block_index(block: str, seed: int) -> dict[str, list[int]]:
+    """Places of each substring of ``seed`` characters."""
+    out: dict[str, list[int]] = {}
+    for j in range(len(block) - seed + 1):
+        out.setdefault(block[j : j + seed], []).append(j)
+    return out
 
-    def run(batches):
-        for b in batches:
-            out: list[tuple[int, int, int, int, int, int]] = []
-            for group in b.column("g").to_pylist():
-                for i, x in enumerate(group):
-                    for y in group[i + 1 :]:
-                        if x["doc"] == y["doc"] or x["middle"] != y["middle"]:
-                            continue
-                        left, right = _common(x["before"], y["before"]), _common(x["after"], y["after"])
-                        if left + right >= reach:
-                            lo, hi = (x, y) if x["doc"] < y["doc"] else (y, x)
-                            out.append((lo["doc"], lo["first"] - left, lo["last"] + gram + right, hi["doc"], hi["first"] - left, hi["last"] + gram + right))
-            cols = list(zip(*out, strict=True)) if out else [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int32(), pa.int32()] * 2, strict=True)], names=["a", "a_start", "a_end", "b", "b_start", "b_end"])
-
-    return groups.select("g").mapInArrow(run, "a bigint, a_start int, a_end int, b bigint, b_start int, b_end int")
-
-
-def _cuts_of_large_groups(blocks: DataFrame, gram: int, reach: int) -> DataFrame:
-    """Every span-long substring around each anchor: ``(anchor, cut, previous, doc, start, last)``.
-
-    Two blocks share a span around the anchor exactly if they share one of these at most reach + 1 substrings, so large
-    groups are matched by key, never pair by pair. ``previous`` is the substring one place earlier (null for the first).
+
+def factors(record: str, block: str, index: dict[str, list[int]], seed: int, span: int) -> list[tuple[int, int, int]]:
+    """``(start, end, source)`` of the factors of ``record`` relative to ``block`` with at least ``span`` characters.
+
+    Greedy from left to right: at each place the longest piece of the block that begins there, by the block's ``index``.
+    A factor shorter than a span is a literal. Behind a factor the search begins again a span less one before its end,
+    where only a factor that goes beyond it counts; so every span that the block holds lies in one of the factors.
     """
-    span = gram + reach
+    out: list[tuple[int, int, int]] = []
+    at, end, last = 0, 0, len(record) - span
+    while at <= last:
+        best, source = 0, 0
+        for j in index.get(record[at : at + seed], ()):
+            n = seed + _common(record[at + seed :], block[j + seed :])
+            if n > best:
+                best, source = n, j
+        if best >= span and at + best > end:
+            end = at + best
+            out.append((at, end, source))
+            at = max(at + 1, end - span + 1)
+        else:
+            at += 1
+    return out
+
+
+def _parsed(pairs: DataFrame, contents: DataFrame, span: int) -> DataFrame:
+    """``(anchor, lead, start, end, source, source_start)``: factors of block ``lead`` relative to block ``source``."""
+    seed = span // 2
+    text = contents.select("anchor", "lead", "block")
+    both = pairs.join(text, ["anchor", "lead"]).join(text.withColumnsRenamed({"lead": "source", "block": "other"}), ["anchor", "source"])
 
     def run(batches):
         for b in batches:
-            cols: list[list] = [[], [], [], [], [], []]
-            t = b.to_pydict()
-            for anchor, doc, first, last, before, middle, after in zip(*(t[c] for c in ("anchor", "doc", "first", "last", "before", "middle", "after")), strict=True):
-                text = before[::-1] + middle + after
-                n = len(text) - span + 1
-                if n <= 0:
-                    continue
-                h = Rolling(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)).grams(slice(None), span).view(np.int64)
-                cols[0].append(np.full(n, anchor))
-                cols[1].append(h)
-                cols[2].append(np.concatenate([[0], h[:-1]]))
-                cols[3].append(np.full(n, doc))
-                cols[4].append(np.arange(n) + first - len(before))
-                cols[5].append(np.arange(n) + last - len(before))
-            if cols[0]:
-                c = [np.concatenate(x) for x in cols]
-                head = np.concatenate([np.arange(len(x)) == 0 for x in cols[1]])
-                yield pa.RecordBatch.from_arrays([pa.array(c[0]), pa.array(c[1]), pa.array(c[2], mask=head), pa.array(c[3]), pa.array(c[4].astype(np.int32)), pa.array(c[5].astype(np.int32))], names=["anchor", "cut", "previous", "doc", "start", "last"])
-
-    return blocks.mapInArrow(run, "anchor bigint, cut bigint, previous bigint, doc bigint, start int, last int")
+            known: dict[str, dict] = {}
+            rows, cols = [], []
+            for i, (record, block) in enumerate(zip(b.column("block").to_pylist(), b.column("other").to_pylist(), strict=True)):
+                if block not in known:
+                    known[block] = block_index(block, seed)
+                found = factors(record, block, known[block], seed, span)
+                rows += [i] * len(found)
+                cols += found
+            row = pa.array(rows, pa.int64())
+            start, end, source = ([c[k] for c in cols] for k in range(3))
+            yield pa.RecordBatch.from_arrays([b.column("anchor").take(row), b.column("lead").take(row), pa.array(start, pa.int32()), pa.array(end, pa.int32()), b.column("source").take(row), pa.array(source, pa.int32())], names=["anchor", "lead", "start", "end", "source", "source_start"])
+
+    return both.select("anchor", "lead", "source", "block", "other").mapInArrow(run, f"anchor bigint, lead {LEAD}, start int, end int, source {LEAD}, source_start int")
 
 
 class SharedSpans:
@@ -240,71 +280,101 @@ class SharedSpans:
 
     Null ids are left out (a pair can't name them), null and short texts share nothing, repeated rows count once (of an
     id with several texts, lengths and copies go by the smallest). Equal texts form a class that is parsed once, under
-    its smallest id.
+    its smallest id. An empty table gives empty results.
 
-    Groups of at most ``small`` places of one anchor are compared pair by pair, larger ones by the keys of their
-    span-long substrings; both ways are exact, so no group is capped.
+    Work is in proportion to the text: equal blocks are parsed once, and a block is parsed against the first and the last
+    block of the index that share a substring with it, which decides what it shares with anything at all. Only ``pairs``,
+    which must name every pair, parses all pairs of different blocks that share one. Anchors and substrings that are
+    frequent are counted with partial sums; joins on them stream, and adaptive execution splits their partitions.
     """
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 200, small: int = 16) -> None:
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 200) -> None:
         if span < 8:
             raise ValueError("span must be at least 8")
         gram = span // 2
         window, reach = span - gram + 1, span - gram
         self.span, self.docs = span, docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text")).where(F.col("doc").isNotNull())
         keyed = self.docs.select("doc", F.length("text").alias("chars"), F.sha2("text", 256).alias("key"))
-        keyed = keyed.groupBy("doc").agg(F.min_by(F.struct("chars", "key"), F.struct(F.col("key").isNull(), "key")).alias("t")).select("doc", "t.chars", "t.key")
-        classes = keyed.where(F.col("chars") >= span).groupBy("key").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("members"))
-        #: (doc, chars, key) of all; (key, rep, members) of the classes of long texts.
-        self.all, self.classes = keyed, classes
-        self.members = keyed.where(F.col("chars") >= span).join(classes, "key").select("doc", "rep", "chars", "members")
-        copies = self.members.where(F.col("doc") != F.col("rep")).select("doc")
-        ones = self.docs.where(F.length("text") >= span).join(copies, "doc", "left_anti")
-        # One shuffle of small rows; a window over equal anchors holds numbers only and spills.
-        same = Window.partitionBy("anchor")
-        rows = _anchor_rows(ones, gram, window).select("*", F.min("doc").over(same).alias("lo"), F.max("doc").over(same).alias("hi"), F.count(F.lit(1)).over(same).alias("n"))
-        blocks = cut(_blocks(rows.where("lo < hi").drop("lo", "hi"), ones, gram, reach))
-        self.factors = _factors_of_small_groups(blocks.where(F.col("n") <= small), gram, reach)
-        self.cuts = _cuts_of_large_groups(blocks.where(F.col("n") > small), gram, reach)
+        keyed = cut(keyed.groupBy("doc").agg(F.min_by(F.struct("chars", "key"), F.struct(F.col("key").isNull(), "key")).alias("t")).select("doc", "t.chars", F.when(F.col("t.chars") >= span, F.unhex("t.key")).alias("key")))
+        classes = keyed.where("key IS NOT NULL").groupBy("key").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("members")).where("members > 1")
+        #: (doc, chars) of all; (doc, rep, members) of texts that have copies.
+        self.all = keyed.select("doc", "chars")
+        self.copied = cut(keyed.join(classes, "key").select("doc", "rep", "members"))
+        copies = self.copied.where("doc <> rep").select("doc")
+        few = copies.limit((1 << 20) + 1).count() <= 1 << 20  # 8 MB of ids; more are taken out by shuffle
+        ones = self.docs.where(F.length("text") >= span).join(F.broadcast(copies) if few else copies, "doc", "left_anti")
+        places = cut(_shared_places(_anchor_rows(ones, gram, window)).distinct())
+        self.blocks = blocks = cut(_blocks(places, ones, gram, reach).where(F.length("block") >= span))
+        #: Reference blocks: each distinct text around an anchor, named by the first place it stands at.
+        grouped = blocks.groupBy("anchor", "at", "block").agg(F.min(F.struct("doc", "first")).alias("lead"), F.min("doc").alias("lo"), F.max("doc").alias("hi"))
+        self.contents = cut(grouped)
+        varied = self.contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("lo").alias("least"), F.max("hi").alias("most")).where("n > 1 AND least < most").select("anchor")
+        self.cuts = _cuts(self.contents.join(varied, "anchor", "left_semi"), span)
+
+    def factors(self) -> DataFrame:
+        """``(anchor, lead, start, end, source, source_start)``: each block's factors relative to the index. A block that
+        stands in several documents is its own source."""
+        whole = self.contents.where("lo < hi").select("anchor", "lead", F.lit(0).alias("start"), F.length("block").alias("end"), F.col("lead").alias("source"), F.lit(0).alias("source_start"))
+        key = ["anchor", "place", "cut"]
+        ends = self.cuts.groupBy(*key).agg(F.min(F.struct("lo", "lead")).alias("a"), F.max(F.struct("hi", "lead")).alias("b")).where("a.lo < b.hi")
+        alone = self.cuts.where("lo = hi").join(ends, key)
+        links = alone.select("anchor", "lead", F.when(F.col("a.lo") != F.col("lo"), F.col("a.lead")).otherwise(F.col("b.lead")).alias("source")).distinct()
+        return whole.unionByName(_parsed(links, self.contents, self.span))
+
+    def _members(self) -> DataFrame:
+        """``(anchor, lead, doc, first, last, at)``: the places of each reference block."""
+        return self.blocks.join(self.contents.select("anchor", "at", "block", "lead"), ["anchor", "at", "block"]).select("anchor", "lead", "doc", "first", "last", "at")
 
     def class_pairs(self) -> DataFrame:
         """``(a, b)``, a < b: representatives of classes of equal texts that share a span."""
-        small = self.factors.select("a", "b")
         x, y = self.cuts.alias("x"), self.cuts.alias("y")
         # Of a run of common substrings only the first speaks.
         new = F.col("x.previous").isNull() | F.col("y.previous").isNull() | (F.col("x.previous") != F.col("y.previous"))
-        large = x.join(y, (F.col("x.anchor") == F.col("y.anchor")) & (F.col("x.cut") == F.col("y.cut")) & (F.col("x.doc") < F.col("y.doc")) & new).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
-        return small.unionByName(large).distinct()
+        meet = x.join(y, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("anchor", "place", "cut")] + [F.col("x.lead") < F.col("y.lead"), F.least("x.lo", "y.lo") < F.greatest("x.hi", "y.hi"), new])
+        pairs = meet.select("x.anchor", F.col("x.lead").alias("lead"), F.col("y.lead").alias("source")).distinct()
+        linked = _parsed(pairs, self.contents, self.span).select("anchor", "lead", "source").distinct()
+        own = self.contents.where("lo < hi").select("anchor", "lead", F.col("lead").alias("source"))
+        m = self._members().select("anchor", "lead", "doc").distinct()
+        both = linked.unionByName(own).join(m.withColumnRenamed("doc", "x"), ["anchor", "lead"]).join(m.withColumnsRenamed({"lead": "source", "doc": "y"}), ["anchor", "source"]).where("x <> y")
+        return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
     def pairs(self) -> DataFrame:
         """``(doc_id_a, doc_id_b)``, a < b: all pairs of documents that share a span, those of equal texts included."""
-        m = self.members.select("doc", "rep")
-        between = self.class_pairs().join(m.select(F.col("rep").alias("a"), F.col("doc").alias("x")), "a").join(m.select(F.col("rep").alias("b"), F.col("doc").alias("y")), "b")
-        between = between.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
-        copies = self.members.where("members > 1").select("doc", "rep")
-        within = copies.select("rep", F.col("doc").alias("doc_id_a")).join(copies.select("rep", F.col("doc").alias("doc_id_b")), "rep").where("doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b")
+        c = self.copied.select("doc", "rep")
+        p = self.class_pairs()
+        for side in ("a", "b"):
+            p = p.join(c.select(F.col("rep").alias(side), F.col("doc").alias("__d")), side, "left").withColumn(side, F.coalesce("__d", side)).drop("__d")
+        between = p.select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b"))
+        within = c.select("rep", F.col("doc").alias("doc_id_a")).join(c.select("rep", F.col("doc").alias("doc_id_b")), "rep").where("doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b")
         return between.unionByName(within)
 
+    def span_classes(self) -> DataFrame:
+        """``(doc_id, start, end, members, links)``: reference blocks as classes, without any pairs: the place of the block
+        in the document that leads it, the documents whose factors lie in it (its own too), and the blocks linked to it."""
+        f, m = self.factors(), self._members().select("anchor", "lead", "doc").distinct()
+        both = f.join(m, ["anchor", "lead"]).select("anchor", "source", "lead", "doc")
+        both = both.unionByName(f.select("anchor", "source").distinct().join(m.withColumnRenamed("lead", "source"), ["anchor", "source"]).select("anchor", "source", F.col("source").alias("lead"), "doc"))
+        n = both.groupBy("anchor", "source").agg(F.countDistinct("doc").alias("members"), (F.countDistinct("lead") - 1).alias("links"))
+        where = self.contents.select("anchor", F.col("lead").alias("source"), F.col("lead.doc").alias("doc_id"), (F.col("lead.first") - F.col("at")).alias("start"), F.length("block").alias("n_chars"))
+        return n.join(where, ["anchor", "source"]).select("doc_id", "start", (F.col("start") + F.col("n_chars")).alias("end"), "members", "links")
+
     def spans(self) -> DataFrame:
         """``(doc_id, spans, shared_chars, share)`` for every id: where its text also stands in another row.
 
         ``spans`` are disjoint ``(start, end)`` in code points, 0-based, end exclusive, each a union of shared spans;
         ``share`` is their part of the text, 0.0 for null, empty and short texts.
         """
-        f = self.factors
-        small = f.select(F.col("a").alias("doc"), F.col("a_start").alias("start"), F.col("a_end").alias("end")).unionByName(f.select(F.col("b").alias("doc"), F.col("b_start").alias("start"), F.col("b_end").alias("end")))
-        several = self.cuts.groupBy("anchor", "cut").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("anchor", "cut")
-        large = self.cuts.join(several, ["anchor", "cut"]).select("doc", "start", (F.col("last") + self.span).alias("end"))
-        ends = small.unionByName(large).groupBy("doc", "start").agg(F.max("end").alias("end"))
+        found = self._members().join(self.factors().select("anchor", "lead", F.col("start").alias("s"), F.col("end").alias("e")), ["anchor", "lead"])
+        ends = found.groupBy("doc", (F.col("first") - F.col("at") + F.col("s")).alias("start")).agg(F.max(F.col("last") - F.col("at") + F.col("e")).alias("end"))
         w = Window.partitionBy("doc").orderBy("start")
         ends = ends.withColumn("reach", F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
         islands = ends.withColumn("island", F.sum(F.when(F.col("reach").isNull() | (F.col("start") > F.col("reach")), 1).otherwise(0)).over(w))
         merged = islands.groupBy("doc", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-        by_rep = merged.groupBy(F.col("doc").alias("rep")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("found"))
-        own = self.members.join(by_rep, "rep", "left")
+        by_doc = merged.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("found"))
+        # A text with copies is shared as a whole.
+        own = self.all.join(self.copied.select("doc", F.lit(True).alias("copied")), "doc", "left").join(by_doc, "doc", "left")
         whole = F.array(F.struct(F.lit(0).alias("start"), F.col("chars").alias("end")))
-        own = own.select("doc", F.when(F.col("members") > 1, whole).otherwise(F.col("found")).alias("found"))
         none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
-        out = self.all.select("doc", "chars").join(own, "doc", "left").select("doc", "chars", F.coalesce("found", none).alias("spans"))
+        out = own.select("doc", "chars", F.when(F.col("copied"), whole).otherwise(F.coalesce("found", none)).alias("spans"))
         shared = F.aggregate("spans", F.lit(0), lambda a, s: a + s["end"] - s["start"])
         return out.select(F.col("doc").alias("doc_id"), "spans", shared.alias("shared_chars"), F.when(F.col("chars") > 0, shared / F.col("chars")).otherwise(F.lit(0.0)).alias("share"))

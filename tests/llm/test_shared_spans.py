@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from corbel.llm.shared_spans import SharedSpans, _common, anchors
+from corbel.llm.shared_spans import SharedSpans, _common, anchors, block_index, factors
 
 
 def _brute(texts, span):
@@ -43,12 +43,12 @@ def _corpus(seed, span):
     return texts
 
 
-@pytest.mark.parametrize(("seed", "small"), [(1, 16), (2, 0), (3, 4)])
-def test_equals_brute_force(spark, seed, small):
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_equals_brute_force(spark, seed):
     span = 60
     texts = _corpus(seed, span)
     df = spark.createDataFrame([(i, t, 0) for i, t in texts.items()] + [(62, texts[62], 0), (None, texts[5], 0)], "doc_id long, text string, doc int")
-    parse = SharedSpans(df.drop("doc"), span=span, small=small)
+    parse = SharedSpans(df.drop("doc"), span=span)
     pairs, covered = _brute(texts, span)
     got = [tuple(r) for r in parse.pairs().collect()]
     assert len(got) == len(set(got)) and set(got) == pairs
@@ -78,6 +78,27 @@ def test_common():
     assert [_common(a, b) for a, b in [("", ""), ("abc", "abd"), ("abc", "abc"), ("abc", "ab"), ("x", "y")]] == [0, 2, 3, 2, 0]
 
 
+def test_a_parse_finds_every_span_of_the_block():
+    rnd = random.Random(4)
+    for alphabet in ("ab", "abcdefgh", "aaab"):
+        for _ in range(300):
+            block = "".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 90)))
+            record = "".join(block[(p := rnd.randint(0, len(block))) : p + rnd.randint(0, 40)] + rnd.choice(alphabet) for _ in range(4))
+            got = factors(record, block, block_index(block, 10), 10, 20)
+            assert all(record[a:b] == block[j : j + b - a] and b - a >= 20 for a, b, j in got)
+            assert {i for a, b, _ in got for i in range(a, b)} == {i for p in range(len(record) - 19) if record[p : p + 20] in block for i in range(p, p + 20)}
+
+
+def test_span_classes_name_a_block_all_share(spark):
+    rnd = random.Random(5)
+    make = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    common = make(300)
+    docs = spark.createDataFrame([(i, make(50) + common + make(50)) for i in range(30)] + [(99, make(500))], "doc_id long, text string")
+    rows = SharedSpans(docs, span=60).span_classes().collect()
+    assert max(r.members for r in rows) == 30 and all(r.members > 1 for r in rows)
+    assert {r.doc_id for r in rows if r.links == 0} <= {0}
+
+
 def test_empty_table(spark):
     parse = SharedSpans(spark.createDataFrame([], "doc_id long, text string"))
     assert parse.pairs().count() == 0 and parse.spans().count() == 0
