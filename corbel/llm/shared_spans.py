@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from corbel.session import cut
 
+SALTS = 16
 LEAD = "struct<doc:bigint,first:int>"
 _BASE = 0x5851F42D4C957F2D  # odd multiplier of the rolling hash, modulo 2**64
 _U = np.uint64
@@ -123,6 +124,7 @@ def anchors(texts: list[str], gram: int, window: int) -> tuple[np.ndarray, np.nd
 
 
 def _anchor_rows(docs: DataFrame, gram: int, window: int) -> DataFrame:
+    """``(anchor, salt, doc, first, last)`` of all texts of at least a span; the salt goes by the document."""
     span = gram + window - 1
 
     def run(batches):
@@ -136,23 +138,24 @@ def _anchor_rows(docs: DataFrame, gram: int, window: int) -> DataFrame:
                     hi += 1
                 owner, key, first, last = anchors(texts[lo:hi], gram, window)
                 ids = b.column(0).take(pa.array(owner + lo))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), ids, pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], names=["anchor", "doc", "first", "last"])
+                salt = pa.array(((ids.to_numpy().view(_U) * _U(_BASE)) >> _U(40)).astype(np.int32) % SALTS)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), salt, ids, pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], names=["anchor", "salt", "doc", "first", "last"])
                 lo = hi
 
-    return docs.where(F.length("text") >= span).select("doc", "text").mapInArrow(run, "anchor bigint, doc bigint, first int, last int")
+    return docs.where(F.length("text") >= span).select("doc", "text").mapInArrow(run, "anchor bigint not null, salt int not null, doc bigint not null, first int not null, last int not null")
 
 
-def _shared_places(rows: DataFrame, salts: int = 16) -> DataFrame:
+def _shared_places(rows: DataFrame, salts: int = SALTS) -> DataFrame:
     """Rows of anchors that stand in several documents.
 
-    Counted by anchor and salt first, so an anchor in a third of all documents is spread over tasks; the rows' own
-    exchange serves both the count and the choice.
+    Counted by anchor and salt first, so an anchor in a third of all documents is spread over tasks. One exchange of the
+    rows serves both the count and the choice, as both ask for all of their columns.
     """
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(salts)).cast("int")).repartition("anchor", "salt")
-    part = salted.groupBy("anchor", "salt").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
-    several = part.groupBy("anchor").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
+    salted = rows.repartition("anchor", "salt")
+    part = salted.groupBy("anchor", "salt").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.max(F.col("last") - F.col("first")).alias("run"))
+    several = part.groupBy("anchor").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("run").alias("run")).where("lo < hi AND run >= 0")
     wanted = several.select("anchor", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    return salted.join(wanted, ["anchor", "salt"], "left_semi").drop("salt")
+    return salted.join(wanted, ["anchor", "salt"]).drop("salt")
 
 
 def _blocks(places: DataFrame, docs: DataFrame, gram: int, reach: int, bound: int = 1 << 17) -> DataFrame:
