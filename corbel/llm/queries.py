@@ -74,8 +74,9 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_ranking(spark: SparkSession, d: str) -> DataFrame:
-    """Significance of every item of every query."""
-    return consensus.robust_rank_aggregation(table(spark, d, "ranked"))
+    """Significance of every item of every query, as its decimal logarithm to six places."""
+    scored = consensus.robust_rank_aggregation(table(spark, d, "ranked"))
+    return scored.select("query_id", "chunk_id", (F.round(F.log10("significance"), 6) + 0.0).alias("log_significance"), "best_position", "n_lists")
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -145,18 +146,24 @@ def oracle_sql() -> dict[str, str]:
             n AS (SELECT a.model, a.chunk_id AS a, b.chunk_id AS b, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.model = b.model AND a.chunk_id <> b.chunk_id),
             t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model, a ORDER BY c DESC, b) AS r FROM n) WHERE r <= 10 AND c >= 0.92)
             SELECT DISTINCT x.a AS chunk_id_a, x.b AS chunk_id_b FROM t x JOIN t y ON x.model = y.model AND x.a = y.b AND x.b = y.a WHERE x.a < x.b""",
-        # Robust rank aggregation, binomial terms by logarithms.
-        "p6_found": """
+        # Robust rank aggregation; the beta tail as its power series.
+        **{name: f"""
             WITH i AS (SELECT query_id, retriever, chunk_id, min(CASE WHEN rank >= 1 THEN rank END) AS rank, min(CASE WHEN NOT isnan(score) THEN CASE WHEN retriever = 'vector' THEN score ELSE -score END END) AS cost, max(CASE WHEN NOT isnan(weight) AND weight > 0 THEN weight END) AS weight
                        FROM ranked WHERE query_id IS NOT NULL AND retriever IS NOT NULL AND chunk_id IS NOT NULL GROUP BY 1, 2, 3),
-            l AS (SELECT query_id, retriever, count(rank) > 0 AS has_ranks, greatest(1, round(coalesce(max(weight), 1.0) / 0.5)) AS v, count(*) AS size FROM i GROUP BY 1, 2),
-            k AS (SELECT i.query_id, i.retriever, chunk_id, v, size, CASE WHEN has_ranks THEN rank ELSE cost END AS key FROM i JOIN l USING (query_id, retriever)),
+            l AS (SELECT query_id, retriever, count(rank) > 0 AS has_ranks, coalesce(max(weight), 1.0) AS v FROM i GROUP BY 1, 2),
+            k AS (SELECT i.query_id, i.retriever, chunk_id, v, CASE WHEN has_ranks THEN rank ELSE cost END AS key FROM i JOIN l USING (query_id, retriever)),
             p AS (SELECT *, rank() OVER (PARTITION BY query_id, retriever ORDER BY key NULLS LAST) + (count(*) OVER (PARTITION BY query_id, retriever, key) - 1) / 2 AS pos FROM k),
-            h AS (SELECT query_id, sum(v) AS n FROM l GROUP BY 1),
-            c AS (SELECT p.query_id, chunk_id, pos, pos / size AS r, sum(v) OVER (PARTITION BY p.query_id, chunk_id ORDER BY pos / size, v ROWS UNBOUNDED PRECEDING) AS k, n FROM p JOIN h USING (query_id)),
-            b AS (SELECT query_id, chunk_id, pos, n, CASE WHEN r >= 1 THEN 1.0 ELSE least(1.0, list_sum(list_transform(range(CAST(k AS BIGINT), CAST(n AS BIGINT) + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(r) + (n - j) * ln(1 - r))))) END AS tail FROM c),
-            s AS (SELECT query_id, chunk_id, least(1.0, min(tail) * max(n)) AS rho, min(pos) AS best FROM b GROUP BY 1, 2)
-            SELECT query_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rho, 12), best, chunk_id) AS place FROM s) WHERE place = 1""",
+            h AS (SELECT query_id, sum(v) / min(v) AS n, min(v) AS unit, count(*) AS lists FROM l GROUP BY 1),
+            u AS (SELECT query_id, count(DISTINCT chunk_id) AS items FROM k GROUP BY 1),
+            c AS (SELECT p.query_id, chunk_id, pos, pos / items AS x, sum(v) OVER (PARTITION BY p.query_id, chunk_id ORDER BY pos, v ROWS UNBOUNDED PRECEDING) / unit AS a, n, lists FROM p JOIN h USING (query_id) JOIN u USING (query_id)),
+            b AS (SELECT *, CASE WHEN x >= 1 THEN 1.0 ELSE least(1.0, exp(lgamma(n + 1) - lgamma(a + 1) - lgamma(n - a + 1) + a * ln(x) + (n - a + 1) * ln(1 - x))
+                  * list_sum(list_transform(range(0, 3000), lambda j: exp(lgamma(n + 1 + j) - lgamma(n + 1) - lgamma(a + 1 + j) + lgamma(a + 1) + j * ln(x))))) END AS tail FROM c {only}),
+            s AS (SELECT query_id, chunk_id, least(1.0, min(tail) * max(lists)) AS rho, min(pos) AS best, CAST(max(lists) AS INT) AS n_lists FROM b GROUP BY 1, 2)
+            {last}""" for name, only, last in (
+            # Only the heads of lists can win; the series takes long for all.
+            ("p6_found", "WHERE x < 0.5", "SELECT query_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(ln(rho), 9), best, chunk_id) AS place FROM s) WHERE place = 1"),
+            ("p6_ranking", "", "SELECT query_id, chunk_id, round(log10(rho), 6) + 0.0 AS log_significance, best AS best_position, n_lists FROM s"),
+        )},
         # Every 200-character substring of every document.
         "p9_found": """
             WITH g AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, CAST(length(text) - 198 AS BIGINT)), lambda i: substr(text, i, 200)))) AS gram FROM documents WHERE length(text) >= 200),

@@ -4,7 +4,7 @@ from math import comb
 import numpy as np
 import pytest
 
-from corbel.llm.consensus import first_of_each, robust_rank_aggregation
+from corbel.llm.consensus import beta_tail, first_of_each, robust_rank_aggregation
 from corbel.llm.distinctive import em, em_step, term_distinctiveness
 
 
@@ -72,20 +72,43 @@ def test_no_postings(spark):
 RANKED = "query_id string, retriever string, weight double, rank int, chunk_id long, score double, size int"
 
 
-def _significance(lists, weights, unit=0.5):
-    """Direct robust rank aggregation; lists: {item: position}."""
-    votes = [max(1, round((w if w and w > 0 else 1) / unit)) for w in weights]
-    n, out = sum(votes), {}
-    for item in set().union(*lists):
-        r = sorted(x for ranks, v in zip(lists, votes, strict=True) for x in [ranks[item] / len(ranks) if item in ranks else 1.0] * v)
-        tails = [1.0 if x >= 1 else sum(comb(n, j) * x**j * (1 - x) ** (n - j) for j in range(k, n + 1)) for k, x in enumerate(r, 1)]
-        out[item] = min(1.0, min(tails) * n)
+def _significance(lists, weights):
+    """Direct robust rank aggregation for whole weights; lists: {item: position}."""
+    votes = [w if w and w > 0 else 1 for w in weights]
+    n, out, items = sum(votes), {}, set().union(*lists)
+    for item in items:
+        r = sorted(x for ranks, v in zip(lists, votes, strict=True) for x in [ranks[item] / len(items) if item in ranks else 1.0] * int(v))
+        tails = [1.0 if x >= 1 else sum(comb(int(n), j) * x**j * (1 - x) ** (int(n) - j) for j in range(k, int(n) + 1)) for k, x in enumerate(r, 1)]
+        out[item] = min(1.0, min(tails) * len(lists))
     return out
 
 
+def test_tail_for_whole_and_broken_votes():
+    x, k, n = (np.array(v, float).ravel() for v in np.meshgrid(np.linspace(0.01, 0.99, 25), [1, 2, 5, 9], [9]))
+    want = [sum(comb(9, j) * p**j * (1 - p) ** (9 - j) for j in range(int(i), 10)) for p, i in zip(x, k, strict=True)]
+    assert np.allclose(beta_tail(x, k, n), want, rtol=1e-10)
+    # Between whole votes the tail lies between theirs, and falls as more of them rank an item high.
+    fine = beta_tail(np.full(17, 0.2), np.linspace(1, 9, 17), np.full(17, 9.0))
+    assert (np.diff(fine) < 0).all() and beta_tail(np.array([1.0]), np.array([2.0]), np.array([3.0]))[0] == 1.0
+
+
+def test_weights_between_and_below_whole_ones_count(spark):
+    def first(heavy, light):
+        rows = [("q", "grep", heavy, i + 1, c, None, 0) for i, c in enumerate([1, 2, 3, 4])] + [("q", "bm25", light, i + 1, c, None, 0) for i, c in enumerate([5, 6, 7, 8])]
+        return first_of_each(robust_rank_aggregation(spark.createDataFrame(rows, RANKED))).first().chunk_id
+
+    assert first(0.2, 0.1) == 1 and first(0.1, 0.2) == 5 and first(0.75, 0.7) == 1 and first(1.1, 1.2) == 5
+
+
+def test_support_of_all_lists_beats_the_head_of_a_heavy_one(spark):
+    rows = [("q", "usage", 2.0, i + 1, c, None, 0) for i, c in enumerate([1, 2, *range(100, 134)])] + [("q", "bm25", 0.5, i + 1, c, None, 0) for i, c in enumerate([50, 2, *range(60, 70)])]
+    rows += [("q", "grep", None, i + 1, c, None, 0) for i, c in enumerate([51, 2, *range(70, 80)])] + [("q", "vector", 1.0, i + 1, c, None, 0) for i, c in enumerate(range(80, 103))]
+    assert first_of_each(robust_rank_aggregation(spark.createDataFrame(rows, RANKED))).first().chunk_id == 2
+
+
 def test_equals_direct_aggregation(spark):
     rng = np.random.default_rng(4)
-    lists, weights, rows = [], [2.0, None, 0.0, 0.5], []
+    lists, weights, rows = [], [2.0, None, 0.0, 1.0], []
     for name, w in zip(["bm25", "vector", "grep", "graph"], weights, strict=True):
         items = rng.permutation(40)[:15].tolist()
         lists.append({c: i + 1 for i, c in enumerate(items)})
