@@ -200,6 +200,8 @@ def python_language() -> tuple[Language, Node]:
     R["args3"] = opt(comma, alt(g.eps, cat(alt(kw, dstar), r("args3"))))
     R["args"] = alt(g.eps, cat(alt(pos, star_arg), r("args1")), cat(kw, r("args2")), cat(dstar, r("args3")), cat(named, comp))
     call = cat(t("("), r("args"), t(")"))
+    # Bases of a class are arguments, but a bare comprehension is not one.
+    bases = cat(t("("), alt(g.eps, cat(alt(pos, star_arg), r("args1")), cat(kw, r("args2")), cat(dstar, r("args3"))), t(")"))
     index = cat(t("["), r("slices"), t("]"))
     R["trailer"] = alt(cat(t("."), name), call, index)
 
@@ -301,7 +303,7 @@ def python_language() -> tuple[Language, Node]:
     finally_ = cat(t("finally"), block)
     try_ = cat(t("try"), block, alt(finally_, cat(alt(plus(handler), plus(group)), otherwise, opt(finally_))))
     def_ = cat(t("def"), name, type_params, t("("), r("def_params"), t(")"), opt(t("->"), expression), block)
-    class_ = cat(t("class"), name, type_params, opt(call), block)
+    class_ = cat(t("class"), name, type_params, opt(bases), block)
     decorated = cat(plus(cat(t("@"), named, t("<NEWLINE>"))), alt(class_, cat(opt(t("async")), def_)))
     R["statement"] = alt(
         r("simples"),

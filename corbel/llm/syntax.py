@@ -24,6 +24,8 @@ EXTENSIONS = {".py": "python", ".pyi": "python", ".json": "json", ".toml": "toml
 
 
 class LexError(Exception):
+    """A fault no token can be made of; ``truncated`` where the text ends inside a token, a bracket or a joined line."""
+
     def __init__(self, line: int, why: str, truncated: bool = False) -> None:
         super().__init__(why)
         self.line, self.truncated = line, truncated
@@ -60,27 +62,35 @@ def _literal(token: str, line: int) -> str:
 _BAD_NUMBER = re.compile(r"0[0_]*[1-9][0-9_]*")  # leading zeros
 
 
+_CUT_NUMBER = re.compile(r"(?:\b0[xXbBoO]|[0-9a-fA-F]_|[0-9][eE][-+]?)\Z")  # digits must follow
+_WHOLE = set(")]},;~")  # signs that begin no longer one, or close something
+
+
 def _python_tokens(content: bytes, code: dict[str, int]) -> Iterator[tuple[int, int]]:
+    """Codes and lines. Tokens that the text's end supplies or may have cut have negative lines: the line feed of a last
+    line without one, what closes blocks there, and a word or sign that might go on."""
     text = _decode_python(content)
+    final = text.count("\n") + 1
+    end = (final, len(text) - text.rfind("\n") - 1)
     name, newline, indent, dedent = code["<NAME>"], code["<NEWLINE>"], code["<INDENT>"], code["<DEDENT>"]
     N, O, NL, C = tokenize.NAME, tokenize.OP, tokenize.NL, tokenize.COMMENT  # noqa: E741
     line, raw = 1, []
     try:
-        for kind, string, start, _, _ in tokenize.generate_tokens(io.StringIO(text).readline):
+        for kind, string, start, stop, _ in tokenize.generate_tokens(io.StringIO(text).readline):
             if kind == NL or kind == C:
                 continue
             line = start[0]
             if kind == N:
                 if not string.isascii() and not string.isidentifier():
                     raise LexError(line, "character")
-                yield code.get(string, name), line
+                yield code.get(string, name), -line if stop == end else line
             elif kind == O:
                 known = code.get(string)
                 if known is None:
                     raise LexError(line, "character")
-                yield known, line
+                yield known, -line if stop == end and string not in _WHOLE else line
             elif kind == tokenize.NEWLINE:
-                yield newline, line
+                yield newline, line if string else -line
             elif kind == tokenize.STRING:
                 yield code[f"<{_literal(string, line)}>"], line
             elif kind == tokenize.NUMBER:
@@ -90,7 +100,7 @@ def _python_tokens(content: bytes, code: dict[str, int]) -> Iterator[tuple[int,
             elif kind == tokenize.INDENT:
                 yield indent, line
             elif kind == tokenize.DEDENT:
-                yield dedent, line
+                yield dedent, line if start[0] < final or text[-1:] not in ("", "\n") and start[1] else -line
             elif kind == tokenize.FSTRING_START:
                 raw.append("r" in string.lower())
                 yield code["<FSTART>"], line
@@ -106,7 +116,9 @@ def _python_tokens(content: bytes, code: dict[str, int]) -> Iterator[tuple[int,
     except (tokenize.TokenError, SyntaxError) as e:
         at = e.args[1] if len(e.args) > 1 else None
         where = at[0] if isinstance(at, tuple) and isinstance(at[0], int) else at[1] if isinstance(at, tuple) and len(at) > 1 and isinstance(at[1], int) else line
-        raise LexError(where, "token", "EOF" in str(e) or "was never closed" in str(e) or "unterminated triple" in str(e)) from e
+        # A string of one line that the text's end leaves open was perhaps to be closed.
+        open_end = "EOF" in str(e) or "was never closed" in str(e) or "unterminated triple" in str(e) or where == final and ("unterminated" in str(e) or _CUT_NUMBER.search(text) is not None)
+        raise LexError(where, "token", open_end) from e
 
 
 _JSON = re.compile(r'[ \t\n\r]*(?:([][{}:,])|("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null)(?![\w.+-])|(\Z))')
@@ -210,29 +222,38 @@ _LEXERS = {"python": _python_tokens, "json": _json_tokens, "toml": _toml_tokens}
 def verdict(name: str, content: bytes) -> tuple[str | None, int | None]:
     """``(reason, line)`` of the first fault of a file, (None, None) if it is valid.
 
-    Reasons: encoding, lexical (no token here), token (no derivative by this token), truncated (the file ends too soon).
+    Reasons: encoding, lexical (no token here), token (no derivative by this token), truncated: all tokens that the text
+    has were read, but the derivative at its end is not nullable. A text that ends inside a token, a bracket or a joined
+    line ends there for the parser, too; a last word without a line end may be cut itself.
     """
     g, start = language(name)
     lines: list[int] = []
+    ended: list[int] = []  # the line at which the text broke off inside something
 
     def codes():
-        for c, line in _LEXERS[name](content, g.tokens):
-            lines.append(line)
-            yield c
+        try:
+            for c, line in _LEXERS[name](content, g.tokens):
+                lines.append(line)
+                yield c
+        except LexError as e:
+            if not e.truncated:
+                raise
+            ended.append(e.line)
 
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             read, complete = g.parse(start, codes())
     except LexError as e:
-        return ("encoding" if str(e) == "encoding" else "truncated" if e.truncated else "lexical"), e.line
-    if complete:
+        return "encoding" if str(e) == "encoding" else "lexical", e.line
+    if complete and not ended:
         return None, None
-    end = read == len(lines)
-    line = lines[-1] if lines else 1
+    # Whether the failing token, the last one made, is of the text's end.
+    over = read == len(lines) or lines[read] < 0
+    line = ended[-1] if ended and over else abs(lines[-1]) if lines else 1
     if name == "json" and lines:  # its lexer gives places, not lines
         line = content.decode("utf-8", "replace").count("\n", 0, line) + 1
-    return ("truncated" if end else "token"), line
+    return ("truncated" if over else "token"), line
 
 
 def flag_files(files: DataFrame, id_col: str = "id", path_col: str = "path", content_col: str = "content") -> DataFrame:

@@ -1,5 +1,6 @@
 import ast
 import json
+import os
 import random
 import tomllib
 import warnings
@@ -131,3 +132,37 @@ def test_files_and_rates(spark):
     assert got == {1: ("python", False, None), 2: ("python", True, "token"), 3: ("json", True, "truncated"), 4: (None, False, None), 5: (None, False, None), 6: ("toml", False, None), 7: ("toml", False, None), 8: (None, False, None)}
     assert sorted(map(tuple, invalid_rates(df).collect())) == [(1, "json", 1, 1, 1.0), (1, "python", 2, 1, 0.5), (2, "toml", 1, 0, 0.0)]
     assert flag_files(df.limit(0)).count() == 0 and invalid_rates(df.limit(0)).count() == 0
+
+
+def test_bases_of_a_class_are_no_comprehension():
+    assert verdict("python", b"class A(x for x in y): pass\n") == ("token", 1)
+    for good in (b"f(x for x in y)\n", b"class A(B, metaclass=C): pass\n", b"class A(*b, **c): pass\n", b"class A((x for x in y)): pass\n"):
+        assert verdict("python", good) == (None, None)
+
+
+def test_what_is_cut_off_is_truncated():
+    """5,000 beginnings of valid sources are valid or truncated, by the end derivative, and agree with the language's parser."""
+    rnd, folder = random.Random(3), os.path.dirname(ast.__file__)
+    texts = []
+    for name in ("ast", "json/decoder", "textwrap", "dataclasses", "contextlib", "enum", "statistics", "heapq", "bisect", "queue"):
+        with open(os.path.join(folder, f"{name}.py"), encoding="utf-8") as f:
+            texts.append(f.read()[:12_000].rpartition("\n")[0] + "\n")
+    checked = 0
+    while checked < 5000:
+        text = rnd.choice(texts)
+        start = text[: rnd.randrange(min(len(text), rnd.choice([200, 2000, 12_000])))]
+        try:
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                ast.parse(start)
+            valid = True
+        except SyntaxError:
+            valid = False
+        reason, _ = verdict("python", start.encode())
+        assert (reason is None) == valid and (valid or reason == "truncated" or start.endswith("..")), start[-80:]
+        checked += 1
+    for name, whole in (("json", b'{"a": [1, 2.5e3, "x\\n", null], "b": {"c": true}}'), ("toml", b'a = [1, "x"]\n')):
+        for n in range(1, len(whole)):
+            if name == "json":
+                assert verdict(name, whole[:n])[0] in ("truncated", "lexical"), whole[:n]
+    assert verdict("toml", b"a = [1, ")[0] == verdict("toml", b"a =")[0] == verdict("toml", b'a = "x')[0] == "truncated"
