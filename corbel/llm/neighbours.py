@@ -3,8 +3,9 @@
 Unit vectors are projected on a few random directions, shifted, cut into levels and ordered along a Hilbert curve;
 several such orderings differ in directions and shifts. Cells that hold more vectors than a window are ordered further,
 by levels of their own. Spark range-partitions each ordering; in a partition every vector is compared with the vectors of
-a window around its place, as one matrix product for a block of places. The best of all orderings are merged and ranked
-by their cosines. Equal vectors take part once and are put back in the end.
+a window of fixed size around its place. The best of all orderings are merged, and the merged lists improve each other:
+a vector is compared with the neighbours of its neighbours, round by round, until the lists settle. Vectors travel as bytes until then; what is
+left is ranked by exact cosines. Equal vectors take part once and are put back in the end.
 """
 
 from __future__ import annotations
@@ -106,11 +107,6 @@ class Curves:
         return fine
 
 
-def window_of(n: int, factor: float, power: float, least: int) -> int:
-    """Places to either side that are compared, for ``n`` vectors of a model."""
-    return max(least, int(np.ceil(factor * n**power)))
-
-
 def _best(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Columns and values of the k largest of each row; the width is a multiple of 32 and above 32 * k, or anything small.
 
@@ -130,7 +126,7 @@ def _best(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def best_in_windows(x: np.ndarray, ids: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
     """For each row of ``x`` (in curve order) ids and cosines of the best k in its window; -1 and -inf fill up."""
-    n, block = len(x), 512
+    n, block = len(x), 256
     out_ids, out_sims = np.full((n, k), -1, np.int64), np.full((n, k), -np.inf, np.float32)
     for a in range(0, n, block):
         b = min(n, a + block)
@@ -172,48 +168,67 @@ def unit_vectors(vectors: DataFrame, dim: int = 64) -> DataFrame:
     return units.groupBy("model", "chunk_id").agg(F.min("unit").alias("unit"))
 
 
-def nearest(vectors: DataFrame, k: int = 10, dim: int = 64, curves: int = 24, factor: float = 0.05, power: float = 0.86, least: int = 128) -> DataFrame:
-    """``(model, chunk_id, neighbours array<bigint>, cosines array<float>)`` for each usable vector, best first.
+def _packed(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Binary column whose rows are runs of ``counts`` items."""
+    ends = np.concatenate([[0], np.cumsum(counts)]) * values.dtype.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
-    The (approximately) ``k`` most similar other chunks of the same model; ties in cosine go by chunk id. Fewer than k
-    where the model has fewer. Unusable rows (see :func:`unit_vectors`) have none and are nobody's neighbour; an empty
-    table gives an empty result.
 
-    ``window_of(n)`` = factor * n ** power places to either side keep the recall at 0.9 or more as a model grows
-    (measured against brute force: README); where a model has at most ``least`` places to a side it is exhaustive. Equal unit vectors are each other's first
-    neighbours, exactly: only the one with the lowest id is ordered, the others are put back by id.
-    Each ordering moves every vector once; no vector set is broadcast or collected but a sample of bounded size, which
-    shows where groups of close vectors crowd a cell.
-    """
-    units = cut(unit_vectors(vectors, dim))
-    sizes = units.groupBy("model").agg(F.count(F.lit(1)).alias("n"))
-    total, largest, models = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0)), F.count(F.when(F.col("n") > 2 * least, 1))).first()
-    # The k + 1 lowest ids are all that can be among anybody's k best; the limit is taken on both sides of the shuffle.
-    place = F.row_number().over(Window.partitionBy("model", "unit").orderBy("chunk_id"))
-    heads = units.withColumn("__r", place).where(F.col("__r") <= k + 1).groupBy("model", "unit").agg(F.array_sort(F.collect_list("chunk_id")).alias("same"))
-    heads = cut(heads.where(F.size("same") > 1))
-    copied = not heads.isEmpty()
-    every = units
-    if copied:
-        units = units.join(heads.select("model", "unit", F.col("same")[0].alias("first")), ["model", "unit"], "left").where("first IS NULL OR first = chunk_id").select("model", "chunk_id", "unit")
-    few = F.least(F.lit(1.0), F.lit(min(20_000, 200_000 // max(models, 1))) / F.col("n"))
-    picked = units.join(sizes.where(F.col("n") > 2 * least), "model").where(F.pmod(F.xxhash64("chunk_id", F.lit("sample")), F.lit(1 << 20)) < few * (1 << 20)).select("model", "unit", "n")
-    samples: dict[str, list] = {}
-    for r in picked.collect():
-        samples.setdefault(r.model, [r.n]).append(bytes(r.unit))
-    widest = window_of(max(largest, 1), factor, power, least)
-    # A partition is many windows long, so few places lie near its ends, and holds some ten MB.
-    parts = max(1, min(4096, curves * total // max(30_000, 12 * widest) + 1))
-    family = Curves(dim, curves)
-    dense = {}
-    for model, (n, *seen) in samples.items():
-        crowd = max(32, int(window_of(n, factor, power, least) * len(seen) / n))
-        dense[model] = family.dense_cells(np.frombuffer(b"".join(seen), np.float32).reshape(-1, dim), crowd)
+def _rows_of(column: pa.Array, dtype: type, width: int) -> np.ndarray:
+    """Matrix of a binary column with rows of equal size."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(-1, width)
+
+
+LISTS = "model string, chunk_id bigint, ids binary, sims binary"
+
+
+def _coded(units: DataFrame, dim: int) -> DataFrame:
+    """``(model, chunk_id, code)``: vectors as signed bytes of their own scale, which is the code's last four bytes."""
+
+    def run(batches):
+        for b in batches:
+            x = _rows_of(b.column(2), np.float32, dim)
+            top = np.abs(x).max(axis=1, keepdims=True)
+            code = np.empty((len(x), dim + 4), np.uint8)
+            code[:, :dim] = np.rint(x * (127 / top)).astype(np.int8).view(np.uint8)
+            code[:, dim:] = (top / 127).astype(np.float32).view(np.uint8).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _packed(code.ravel(), np.full(len(x), dim + 4))], names=["model", "chunk_id", "code"])
+
+    return units.select("model", "chunk_id", "unit").mapInArrow(run, "model string, chunk_id bigint, code binary")
+
+
+def _decoded(column: pa.Array, dim: int) -> np.ndarray:
+    code = _rows_of(column, np.uint8, dim + 4)
+    return code[:, :dim].view(np.int8).astype(np.float32) * np.ascontiguousarray(code[:, dim:]).view(np.float32)
+
+
+def _by_key(batches, keys: int):
+    """Record batches of sorted rows, cut so that rows that agree in the first ``keys`` columns are in one batch, with the
+    places where a key begins. A key's rows are held together; all others pass by."""
+    held: pa.RecordBatch | None = None
+    for b in _with_end(batches):
+        t = held if b is None else b if held is None or not held.num_rows else pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+        if t is None or not t.num_rows:
+            continue
+        change = np.zeros(t.num_rows - 1, bool)
+        for i in range(keys):
+            c = t.column(i)
+            c = c.dictionary_encode().indices if pa.types.is_string(c.type) else c
+            change |= np.diff(c.to_numpy()) != 0
+        starts = np.concatenate([[0], np.nonzero(change)[0] + 1])
+        done = t.num_rows if b is None else int(starts[-1])
+        held = t.slice(done)
+        if done:
+            yield t.slice(0, done), starts[starts < done]
+
+
+def _curve_lists(coded: DataFrame, sizes: DataFrame, dense: dict, family: Curves, dim: int, window: int, keep: int, width: int, parts: int) -> DataFrame:
+    """``LISTS``: the best ``keep`` of each vector's window on each curve, ``width`` on the first."""
+    curves = family.count
 
     def order(batches):
         for b in batches:
-            n = b.num_rows
-            x = np.frombuffer(b"".join(b.column(2).to_pylist()), np.float32).reshape(n, dim)
+            n, x = b.num_rows, _decoded(b.column(2), dim)
             models = b.column(0).dictionary_encode()
             mine = [(dense.get(m), models.indices.to_numpy() == i) for i, m in enumerate(models.dictionary.to_pylist())]
             for c in range(curves):
@@ -221,59 +236,184 @@ def nearest(vectors: DataFrame, k: int = 10, dim: int = 64, curves: int = 24, fa
                 for cells, rows in mine:
                     if cells and cells[c]:
                         fine[rows] = family.fine_keys(x[rows], c, key[rows], cells[c])
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(n, c, np.int32)), pa.array(key), pa.array(fine), b.column(1), b.column(2), b.column(3)], names=["model", "curve", "key", "fine", "chunk_id", "unit", "n"])
-
-    def flush(model, ids, xs, n):
-        x, who = np.concatenate(xs), np.concatenate(ids)
-        best, sims = best_in_windows(x, who, k, window_of(n, factor, power, least))
-        for a in range(0, len(who), 20_000):
-            m = len(who[a : a + 20_000])
-            raw = lambda v, width: pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), m, [None, pa.py_buffer(np.ascontiguousarray(v[a : a + m]))]).cast(pa.binary())  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([pa.array([model] * m), pa.array(who[a : a + m]), raw(best, 8 * k), raw(sims, 4 * k)], names=["model", "chunk_id", "ids", "sims"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(n, c, np.int32)), pa.array(key), pa.array(fine), b.column(1), b.column(2)], names=["model", "curve", "key", "fine", "chunk_id", "code"])
 
     def scan(batches):
-        now, ids, xs, n = None, [], [], 0
+        now, ids, xs = None, [], []
+
+        def flush():
+            x, who = np.concatenate(xs), np.concatenate(ids)
+            best, sims = best_in_windows(x, who, width if now[1] == 0 else keep, window)
+            real = best >= 0
+            counts = real.sum(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array([now[0]] * len(who)), pa.array(who), _packed(best[real], counts), _packed(sims[real], counts)], names=["model", "chunk_id", "ids", "sims"])
+
         for b in batches:
             models, curve = b.column(0), b.column(1).to_numpy()
-            x = np.frombuffer(b"".join(b.column(4).to_pylist()), np.float32).reshape(-1, dim)
-            who, sizes_ = b.column(3).to_numpy(), b.column(5).to_numpy()
+            x, who = _decoded(b.column(3), dim), b.column(2).to_numpy()
             codes = models.dictionary_encode().indices.to_numpy()
-            ends = [*(np.nonzero((np.diff(curve) != 0) | (np.diff(codes) != 0))[0] + 1).tolist(), b.num_rows]
-            a = 0
-            for e in ends:
-                if e == a:
-                    continue
+            starts = [0, *(np.nonzero((np.diff(curve) != 0) | (np.diff(codes) != 0))[0] + 1).tolist()] if b.num_rows else []
+            for a, e in zip(starts, [*starts[1:], b.num_rows], strict=False):
                 key = (models[a].as_py(), int(curve[a]))
                 if key != now:
                     if ids:
-                        yield from flush(now[0], ids, xs, n)
-                    now, ids, xs, n = key, [], [], int(sizes_[a])
+                        yield from flush()
+                    now, ids, xs = key, [], []
                 ids.append(who[a:e])
                 xs.append(x[a:e])
-                a = e
         if ids:
-            yield from flush(now[0], ids, xs, n)
+            yield from flush()
 
-    def merge(batches):
-        held = None
-        for b in _with_end(batches):
-            t = held if b is None else b if held is None else pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
-            if t is None or not t.num_rows:
-                continue
-            who, model = t.column(1).to_numpy(), t.column(0).dictionary_encode().indices.to_numpy()
-            change = np.nonzero((np.diff(who) != 0) | (np.diff(model) != 0))[0] + 1
-            done = t.num_rows if b is None else int(change[-1]) if len(change) else 0
-            held = t.slice(done)
-            if done:
-                yield _merged(t.slice(0, done), change[change < done], k)
-
-    orderings = units.join(sizes, "model").select("model", "chunk_id", "unit", "n").mapInArrow(order, "model string, curve int, key bigint, fine bigint, chunk_id bigint, unit binary, n bigint")
+    orderings = coded.join(sizes.where("n > 1").select("model"), "model", "left_semi").mapInArrow(order, "model string, curve int, key bigint, fine bigint, chunk_id bigint, code binary")
     tie = F.xxhash64("chunk_id", "curve")  # what shares a key stands in another order on each curve
     places = ["model", "curve", "key", "fine", "tie"]
     ordered = orderings.withColumn("tie", tie).repartitionByRange(parts, *places).sortWithinPartitions(*places)
-    lists = ordered.select("model", "curve", "key", "chunk_id", "unit", "n").mapInArrow(scan, "model string, chunk_id bigint, ids binary, sims binary")
-    gathered = lists.repartition("chunk_id").sortWithinPartitions("chunk_id", "model")
-    near = gathered.mapInArrow(merge, "model string, chunk_id bigint, neighbours array<bigint>, cosines array<float>")
+    return ordered.select("model", "curve", "chunk_id", "code").mapInArrow(scan, LISTS)
+
+
+def _merge(lists: DataFrame, k: int) -> DataFrame:
+    """``(model, chunk_id, neighbours, cosines)`` from ``LISTS``: the best ``k`` different ones of each vector."""
+
+    def run(batches):
+        for t, starts in _by_key(batches, 2):
+            yield _merged(t, starts, k)
+
+    gathered = lists.repartition("chunk_id").sortWithinPartitions("model", "chunk_id")
+    return gathered.mapInArrow(run, "model string, chunk_id bigint, neighbours array<bigint>, cosines array<float>")
+
+
+def _as_lists(near: DataFrame) -> DataFrame:
+    def run(batches):
+        for b in batches:
+            counts = np.diff(b.column(2).offsets.to_numpy())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _packed(b.column(2).flatten().to_numpy(), counts), _packed(b.column(3).flatten().to_numpy(), counts)], names=["model", "chunk_id", "ids", "sims"])
+
+    return near.mapInArrow(run, LISTS)
+
+
+def _met_at_neighbours(near: DataFrame, coded: DataFrame, dim: int, width: int) -> DataFrame:
+    """``LISTS``: what each vector finds among the neighbours of its neighbours, and among those it is such a neighbour of,
+    beyond the last place of its own list.
+
+    Both sides meet at the vector between them: the ones it lists (at most ``width``), held in memory, and the ones that
+    list it, which pass by however many they are.
+    """
+    last = F.when(F.size("cosines") >= width, F.col("cosines")[width - 1]).otherwise(F.lit(-2.0)).cast("float").alias("least")
+    mine = cut(near.join(coded, ["model", "chunk_id"]).select("model", "chunk_id", "neighbours", "code", last))
+    vec = mine.select("model", F.col("chunk_id").alias("who"), "code", "least")
+    listed = mine.select("model", F.col("chunk_id").alias("center"), F.explode("neighbours").alias("who")).join(vec, ["model", "who"])
+    listed = listed.select("model", "center", F.lit(0).alias("role"), "who", "code", "least")
+    listing = mine.select("model", F.explode("neighbours").alias("center"), F.lit(1).alias("role"), F.col("chunk_id").alias("who"), "code", "least")
+
+    def run(batches):
+        now, ids, x, floor = None, np.empty(0, np.int64), np.empty((0, dim), np.float32), np.empty(0, np.float32)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            model, center, role, who = b.column(0), b.column(1).to_numpy(), b.column(2).to_numpy(), b.column(3).to_numpy()
+            models, vectors, least = model.dictionary_encode(), _decoded(b.column(4), dim), b.column(5).to_numpy()
+            names, codes = models.dictionary.to_pylist(), models.indices.to_numpy()
+            starts = np.concatenate([[0], np.nonzero((np.diff(center) != 0) | (np.diff(codes) != 0) | (np.diff(role) != 0))[0] + 1]).tolist()
+            to, found, cosines, of = [], [], [], []
+            for a, e in zip(starts, [*starts[1:], b.num_rows], strict=True):
+                key = (names[codes[a]], center[a])
+                if key != now:
+                    now, ids, x, floor = key, ids[:0], x[:0], floor[:0]
+                if role[a] == 0:
+                    ids, x, floor = np.concatenate([ids, who[a:e]]), np.concatenate([x, vectors[a:e]]), np.concatenate([floor, least[a:e]])
+                elif len(ids):
+                    sims, other = vectors[a:e] @ x.T, who[a:e, None] != ids
+                    for better, back in ((sims > least[a:e, None]) & other, False), ((sims > floor) & other, True):
+                        row, col = np.nonzero(better)
+                        there, here = ids[col], who[a:e][row]
+                        to.append(there if back else here)
+                        found.append(here if back else there)
+                        cosines.append(sims[row, col])
+                        of.append(np.full(len(row), codes[a]))
+            if not to:
+                continue
+            of, to, found, cosines = (np.concatenate(c) for c in (of, to, found, cosines))
+            # A pair is met at several vectors: one row for each vector of the batch, with different ones only.
+            order = np.lexsort((found, to, of))
+            of, to, found, cosines = of[order], to[order], found[order], cosines[order]
+            fresh = np.ones(len(to), bool)
+            fresh[1:] = (of[1:] != of[:-1]) | (to[1:] != to[:-1]) | (found[1:] != found[:-1])
+            of, to, found, cosines = of[fresh], to[fresh], found[fresh], cosines[fresh]
+            heads = np.concatenate([[0], np.nonzero((np.diff(of) != 0) | (np.diff(to) != 0))[0] + 1]) if len(to) else np.empty(0, np.int64)
+            counts = np.diff(np.append(heads, len(to)))
+            yield pa.RecordBatch.from_arrays([models.dictionary.take(pa.array(of[heads])), pa.array(to[heads]), _packed(found, counts), _packed(cosines.astype(np.float32), counts)], names=["model", "chunk_id", "ids", "sims"])
+
+    both = listed.unionByName(listing).repartition("center").sortWithinPartitions("model", "center", "role")
+    return both.mapInArrow(run, LISTS)
+
+
+def _exact(near: DataFrame, units: DataFrame, dim: int, k: int, more: int) -> DataFrame:
+    """The first ``k`` by exact cosines of the first ``k + more`` of each list."""
+    mine = near.join(units.select("model", "chunk_id", "unit"), ["model", "chunk_id"]).select("model", "chunk_id", "unit", F.explode(F.slice("neighbours", 1, k + more)).alias("other"))
+    pairs = mine.join(units.select("model", F.col("chunk_id").alias("other"), F.col("unit").alias("there")), ["model", "other"])
+
+    def run(batches):
+        for b in batches:
+            sims = np.einsum("ij,ij->i", _rows_of(b.column(3), np.float32, dim).astype(np.float64), _rows_of(b.column(4), np.float32, dim))
+            one = np.ones(b.num_rows, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _packed(b.column(2).to_numpy(), one), _packed(sims.astype(np.float32), one)], names=["model", "chunk_id", "ids", "sims"])
+
+    return _merge(pairs.select("model", "chunk_id", "other", "unit", "there").mapInArrow(run, LISTS), k)
+
+
+def nearest(vectors: DataFrame, k: int = 10, dim: int = 64, curves: int = 20, window: int = 256, keep: int = 8, width: int = 24, settled: float = 0.05) -> DataFrame:
+    """``(model, chunk_id, neighbours array<bigint>, cosines array<float>)`` for each usable vector, best first.
+
+    The (approximately) ``k`` most similar other chunks of the same model; ties in cosine go by chunk id. Fewer than k
+    where the model has fewer. Unusable rows (see :func:`unit_vectors`) have none and are nobody's neighbour; an empty
+    table gives an empty result. Equal unit vectors are each other's first neighbours, exactly: only the one with the
+    lowest id is ordered, the others are put back by id.
+
+    On each of ``curves`` orderings ``window`` places to either side are compared and the best ``keep`` kept (``width`` on the first), whatever
+    the number of vectors; lists of ``width`` then meet in rounds, until at most the share ``settled`` of all first k places
+    is new. So a round's comparisons for a vector are bounded, and the work grows with the number of vectors (recall
+    measured against brute force: README); a model of at most ``window`` vectors is compared exhaustively. No vector set is broadcast or collected but a sample of bounded size,
+    which shows where groups of close vectors crowd a cell.
+    """
+    if width < k:
+        raise ValueError("lists must be at least as wide as k")
+    units = cut(unit_vectors(vectors, dim))
+    sizes = units.groupBy("model").agg(F.count(F.lit(1)).alias("n"))
+    total, models = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 2 * window, 1))).first()
+    # The k + 1 lowest ids are all that can be among anybody's k best; the limit is taken on both sides of the shuffle.
+    place = F.row_number().over(Window.partitionBy("model", "unit").orderBy("chunk_id"))
+    heads = units.withColumn("__r", place).where(F.col("__r") <= k + 1).groupBy("model", "unit").agg(F.array_sort(F.collect_list("chunk_id")).alias("same"))
+    heads = cut(heads.where(F.size("same") > 1))
+    copied = not heads.isEmpty()
+    every = units
+    if copied:
+        units = units.join(heads.select("model", "unit", F.col("same")[0].alias("first")), ["model", "unit"], "left").where("first IS NULL OR first = chunk_id").select("model", "chunk_id", "unit")
+    few = F.least(F.lit(1.0), F.lit(min(20_000, 200_000 // max(models, 1))) / F.col("n"))
+    picked = units.join(sizes.where(F.col("n") > 2 * window), "model").where(F.pmod(F.xxhash64("chunk_id", F.lit("sample")), F.lit(1 << 20)) < few * (1 << 20)).select("model", "unit", "n")
+    samples: dict[str, list] = {}
+    for r in picked.collect():
+        samples.setdefault(r.model, [r.n]).append(bytes(r.unit))
+    family = Curves(dim, curves)
+    dense = {}
+    for model, (n, *seen) in samples.items():
+        crowd = max(32, int(window * len(seen) / n))
+        dense[model] = family.dense_cells(np.frombuffer(b"".join(seen), np.float32).reshape(-1, dim), crowd)
+    coded = cut(_coded(units, dim))
+    # A partition is many windows long, so few places lie near its ends, and holds some ten MB.
+    parts = max(1, curves * total // max(50_000, 100 * window) + 1)
+    near = cut(_merge(_curve_lists(coded, sizes, dense, family, dim, window, keep, width, parts), width))
+    fresh = 1.0
+    while fresh > settled:
+        before, near = near, cut(_merge(_as_lists(near).unionByName(_met_at_neighbours(near, coded, dim, width)), width))
+        best = lambda df, name: df.select("model", "chunk_id", F.slice("neighbours", 1, k).alias(name))
+        both = best(near, "now").join(best(before, "then"), ["model", "chunk_id"])
+        new, all_ = both.agg(F.sum(F.size(F.array_except("now", "then"))), F.sum(F.size("now"))).first()
+        fresh = (new or 0) / (all_ or 1)
+    found = _exact(near, units, dim, k, width - k)
+    # Lists can be empty where a model has one vector.
+    near = units.select("model", "chunk_id").join(found, ["model", "chunk_id"], "left")
+    none = lambda t: F.array().cast(f"array<{t}>")
+    near = near.select("model", "chunk_id", F.coalesce("neighbours", none("bigint")).alias("neighbours"), F.coalesce("cosines", none("float")).alias("cosines"))
     return _with_copies(near, every, heads, k) if copied else near
 
 
@@ -300,15 +440,12 @@ def _with_end(batches):
     yield None
 
 
-def _merged(t: pa.RecordBatch, change: np.ndarray, k: int) -> pa.RecordBatch:
+def _merged(t: pa.RecordBatch, starts: np.ndarray, k: int) -> pa.RecordBatch:
     """Lists of the same chunk and model, which stand together, made one: distinct, by cosine, then id."""
-    starts = np.concatenate([[0], change])
-    group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, t.num_rows)))
     ids = np.frombuffer(b"".join(t.column(2).to_pylist()), np.int64)
     sims = np.frombuffer(b"".join(t.column(3).to_pylist()), np.float32)
-    owner = np.repeat(group, k)
-    real = np.isfinite(sims)
-    ids, sims, owner = ids[real], sims[real], owner[real]
+    group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, t.num_rows)))
+    owner = np.repeat(group, pc.binary_length(t.column(2)).to_numpy() // 8)
     # Products of one pair may differ in the last bits between orderings; the largest counts.
     o = np.lexsort((-sims, ids, owner))
     first = np.ones(len(o), bool)

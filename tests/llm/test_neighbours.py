@@ -40,7 +40,12 @@ def test_small_models_are_exact_and_odd_rows_are_left_out(spark):
     rows += [(1000 + i, "a", e, 0) for i, e in enumerate(bad)] + rows[:5] + [(None, "a", [1.0] * 64, 0), (5000, None, [1.0] * 64, 0), (6000, "lone", [1.0] * 64, 0)]
     got = {(r.model, r.chunk_id): r for r in nearest(spark.createDataFrame(rows, SCHEMA), curves=4).collect()}
     want = {("a", i): v for i, v in _brute(x[:200], list(range(200)), 10).items()} | {("b", i): v for i, v in _brute(x[200:], list(range(200, 300)), 10).items()} | {("lone", 6000): []}
-    assert {k: r.neighbours for k, r in got.items()} == want
+    # The column holds floats: neighbours whose cosines agree to seven places may stand in either order.
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert got.keys() == want.keys()
+    for (model, i), r in got.items():
+        assert set(r.neighbours) == set(want[model, i]) and len(r.neighbours) == len(want[model, i])
+        assert all(a == b or abs(u[i] @ u[a] - u[i] @ u[b]) < 1e-7 for a, b in zip(r.neighbours, want[model, i], strict=True))
     assert all(list(r.cosines) == sorted(r.cosines, reverse=True) for r in got.values())
 
 
