@@ -10,12 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Point the context at the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    A machine-local folder is made only where that setting is absent, as in tests.
+    Without that setting, as in tests, a temporary folder is taken where Spark runs in one process; a cluster
+    must name one, as a folder of one machine can't be read by the others.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corbel-checkpoint-"))
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if not folder and not (sc.master or "").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
+    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="corbel-checkpoint-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
