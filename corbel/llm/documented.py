@@ -63,6 +63,15 @@ def sources_of(files: DataFrame) -> DataFrame:
     return rows.where(common).select("file_id", source_text(F.col("content")).alias("text")).unionByName(rows.where(~common).mapInArrow(read, "file_id bigint, text string"))
 
 
+def columns_of(blank: Column) -> Column:
+    """Columns of leading white space as the language counts them: a tab goes on to the next multiple of eight, a form
+    feed begins anew."""
+    rest = F.regexp_replace(blank, r"\A[\s\S]*\f", "")
+    parts = F.split(rest, "\t")  # what stands before each tab, and what stands behind the last one
+    tabbed = F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), F.lit(0), lambda n, x: (F.floor((n + F.length(x)) / 8) * 8 + 8).cast("int"))
+    return F.when(F.instr(blank, "\t") + F.instr(blank, "\f") > 0, tabbed + F.length(F.element_at(parts, -1))).otherwise(F.length(blank))
+
+
 def _statements(sources: DataFrame) -> DataFrame:
     """``(file_id, stmt, head, indent, first, last, n_code, docs, inline, notes)``: one row for each statement line."""
     raw = sources.select("file_id", F.posexplode(F.regexp_extract_all(F.concat(F.lit("\n"), "text"), F.lit(_LEXER), F.lit(0))).alias("pos", "tok"))
@@ -98,7 +107,7 @@ def _statements(sources: DataFrame) -> DataFrame:
     note = (F.col("kind") == "c") & (F.col("prev") == "n") & (F.col("depth") <= 0)
     code = F.col("kind").isin("x", "o", "d", "q") | F.col("head").isin("def", "dec", "code") | ((F.col("kind") == "n") & (F.col("depth") > 0))
     starts = F.col("head").isin("def", "dec", "bare", "code")
-    indent = F.length(F.replace(F.regexp_extract("tok", r"\A\n([ \t\f]*)", 1), F.lit("\t"), F.lit("        ")))
+    indent = columns_of(F.regexp_extract("tok", r"\A\n([ \t\f]*)", 1))
     # A string counts as the documentation's part only behind a line's begin, another string or a joined line.
     doc = F.when((F.col("kind") == "s") & F.col("prev").isin("n", "s", "k"), F.struct("pos", "tok"))
     inline = F.when((F.col("kind") == "s") & (F.col("prev") == "q") & (F.col("depth") <= 0), F.struct("pos", "tok"))
@@ -216,8 +225,8 @@ def telling(doc: Column, name: Column) -> Column:
 def documented_functions(symbols: DataFrame, files: DataFrame, code: bool = True) -> DataFrame:
     """``(symbol_id, file_id, qualified_name, signature, documentation[, comment, code])`` of functions and methods with telling documentation.
 
-    ``documentation`` is the symbol's docstring; where that is null (lost), it is taken from the file's content. '' means
-    that there is none. ``code`` is the function's lines in the content (null if the content can't be read), the header
+    ``documentation`` is what the tokens of the file's content say for every function found there; only where no function
+    begins at a symbol's lines, or the content can't be read, the symbol's own docstring stands in ('' means none). ``code`` is the function's lines in the content (null if the content can't be read), the header
     stands in for a null ``signature``. Symbols with null id count as no symbol, repeated rows count once, files that do
     not decode have no functions, symbols whose lines no function begins at keep their docstring. Empty tables give an
     empty result. Files are shuffled by id once; a symbol only meets its own file's functions.
@@ -228,7 +237,8 @@ def documented_functions(symbols: DataFrame, files: DataFrame, code: bool = True
     found = functions_of(sources, ends=code).withColumn("at", F.explode(F.array_distinct(F.array("start_line", "def_line"))))
     found = found.select("file_id", F.col("at").cast("int").alias("start_line"), F.col("docstring").alias("source_doc"), "comment", F.col("end_line").alias("found_end"), F.col("def_line").alias("header_line"))
     pairs = wanted.join(found, ["file_id", "start_line"], "left")
-    pairs = pairs.withColumn("documentation", F.coalesce("docstring", "source_doc")).where(telling(F.col("documentation"), F.col("name")))
+    lexed = F.when(F.col("header_line").isNotNull(), F.col("source_doc")).otherwise(F.col("docstring"))
+    pairs = pairs.withColumn("documentation", lexed).where(telling(F.col("documentation"), F.col("name")))
     if not code:
         return pairs.select("symbol_id", "file_id", "qualified_name", "signature", "documentation").distinct()
     lines = sources.select("file_id", F.split("text", "\n").alias("lines"))

@@ -3,7 +3,7 @@ import ast
 import pytest
 from pyspark.sql import functions as F
 
-from corbel.llm.documented import documented_functions, functions_of, telling
+from corbel.llm.documented import columns_of, documented_functions, functions_of, telling
 
 SOURCE = '''"""Module."""
 import os  # comment
@@ -110,3 +110,17 @@ def test_late_coding_line_and_deep_indents(spark):
     files = spark.createDataFrame([(1, "a.py", late), (2, "b.py", deep)], "id long, path string, content binary")
     got = {r.file_id: (r.docstring, r.end_line) for r in functions_of(sources_of(files)).collect()}
     assert got == {1: ("Größe des Puffers in Zeilen.", 4), 2: (None, 3)}
+
+
+def test_columns_of_white_space(spark):
+    cases = {"": 0, "    ": 4, "\t": 8, "  \t": 8, "       \t": 8, "        \t": 16, "\t \t  ": 18, "    \f  ": 2, "\f": 0, "\t\f\t": 8}
+    df = spark.createDataFrame([(k, v) for k, v in cases.items()], "b string, n int")
+    assert all(r.n == r.c for r in df.select("b", "n", columns_of(F.col("b")).alias("c")).collect())
+
+
+def test_the_source_decides_where_a_function_is_found(spark):
+    content = b'def a():\n    """Counts the retries."""\n\ndef b():\n    pass\n'
+    files = spark.createDataFrame([(1, "m.py", content)], "id long, path string, content binary")
+    symbols = spark.createDataFrame([(1, 1, "function", "a", "m.a", None, 1, 2, "stale"), (2, 1, "function", "b", "m.b", None, 4, 5, "Says what the source does not."), (3, 1, "function", "c", "m.c", None, 40, 50, "Walks all edges of the graph.")], "id long, file_id long, kind string, name string, qualified_name string, signature string, start_line int, end_line int, docstring string")
+    got = {r.symbol_id: r.documentation for r in documented_functions(symbols, files).collect()}
+    assert got == {1: "Counts the retries.", 3: "Walks all edges of the graph."}
