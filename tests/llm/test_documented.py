@@ -96,7 +96,7 @@ def test_pairs(spark):
     rows = [lost, lost, (2, 1, "function", "load", "a.load", None, 3, 5, "def load(a):", ""), (3, 1, "class", "K", "a.K", None, 2, 5, None, "Real text here."), (4, 2, "method", "m", "b.m", None, 1, 1, "def m():", "Has its own text."), (5, 2, "method", "m", "b.m", None, 1, 1, "def m():", None), (6, None, "function", None, None, None, None, None, None, "Speaks anyway."), (None, 1, "function", "load", "a.load", None, 2, 5, None, None), (7, 4, "function", "load", "c.load", None, 2, 3, None, None), (8, 5, "function", "load", "d.load", None, 2, 3, None, None)]
     symbols = spark.createDataFrame(rows, cols)
     got = {r.symbol_id: r for r in documented_functions(symbols, files).collect()}
-    assert set(got) == {1, 4, 6, 7} and got[7].documentation == "Costs 5 \u20ac."
+    assert set(got) == {1, 2, 4, 6, 7} and got[7].documentation == "Costs 5 \u20ac."
     assert got[1].documentation == "Liest é." and got[1].signature == "@d\ndef load(a):" and got[1].code.startswith("@d\ndef load") and got[1].code.endswith("return 1")
     assert {r.symbol_id for r in documented_functions(symbols, files, code=False).collect()} == set(got)
     assert documented_functions(symbols.limit(0), files.limit(0)).count() == 0
