@@ -362,7 +362,7 @@ def _exact(near: DataFrame, units: DataFrame, dim: int, k: int, more: int) -> Da
     return _merge(pairs.select("model", "chunk_id", "other", "unit", "there").mapInArrow(run, LISTS), k)
 
 
-def nearest(vectors: DataFrame, k: int = 10, dim: int = 64, curves: int = 16, window: int = 256, keep: int = 6, width: int = 24, settled: float = 0.05) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 10, dim: int = 64, curves: int = 16, window: int = 512, keep: int = 6, width: int = 17, settled: float = 0.15) -> DataFrame:
     """``(model, chunk_id, neighbours array<bigint>, cosines array<float>)`` for each usable vector, best first.
 
     The (approximately) ``k`` most similar other chunks of the same model; ties in cosine go by chunk id. Fewer than k
@@ -410,7 +410,7 @@ def nearest(vectors: DataFrame, k: int = 10, dim: int = 64, curves: int = 16, wi
         both = best(near, "now").join(best(before, "then"), ["model", "chunk_id"])
         new, all_ = both.agg(F.sum(F.size(F.array_except("now", "then"))), F.sum(F.size("now"))).first()
         fresh = (new or 0) / (all_ or 1)
-    found = _exact(near, units, dim, k, width - k)
+    found = _exact(near, units, dim, k, min(2, width - k))
     # Lists can be empty where a model has one vector.
     near = units.select("model", "chunk_id").join(found, ["model", "chunk_id"], "left")
     none = lambda t: F.array().cast(f"array<{t}>")
