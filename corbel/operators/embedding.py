@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corbel.session import cut
+
 Embedder = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 
 
@@ -103,7 +105,7 @@ def embed_cached(rows: DataFrame, cache: DataFrame, id_col: str, text_col: str,
     keyed = rows.select(id_col, F.col(text_col).alias("__t"), content_key(model, dim, F.col(text_col)).alias("key")).where(F.col("__t").isNotNull())
     good = cache.where(F.size("embedding") == dim).groupBy("key").agg(F.min("embedding").alias("embedding"))
     misses = keyed.select("key", "__t").distinct().join(good.select("key"), "key", "left_anti")
-    fresh = embed(misses, "key", "__t", embedder, dim)
+    fresh = cut(embed(misses, "key", "__t", embedder, dim))  # read twice, by the vectors and the cache, but asked for once
     vectors = keyed.join(good.unionByName(fresh), "key").select(id_col, "embedding")
     return vectors, fresh
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corbel.operators.ranking import competition_ranks
+from corbel.session import cut
 
 RRF_K = 60
 BOOST = 0.002
@@ -75,13 +76,14 @@ def graph_boost(hits: DataFrame, chunks: DataFrame, edges: DataFrame, weight: fl
 def hybrid_search(retrievers: dict[str, Callable[[], DataFrame]], limit: int, weights: dict[str, float] | None = None, k: int = RRF_K, boost: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, list[str]]:
     """``(hits, failed)``: each retriever's best ``limit``, fused, boosted, then cut to ``limit``.
 
-    A retriever is a function giving ``(query_id, rank, chunk_id, score)``. One that raises while its plan is built is
-    named in ``failed``; only if all do, the error is raised.
+    A retriever is a function giving ``(query_id, rank, chunk_id, score)``. Each list is computed here, once, into the
+    checkpoint folder (at most ``limit`` rows a query), so one that fails as it is planned or as it runs, like an embedder
+    that does not answer, is named in ``failed`` and the others go on; only if all fail, the error is raised.
     """
     lists, failed, last = [], [], None
     for name, make in retrievers.items():
         try:
-            rows = make().where(F.col("rank") <= limit)
+            rows = cut(make().where(F.col("rank") <= limit))
         except Exception as e:  # noqa: BLE001
             failed.append(name)
             last = e

@@ -203,3 +203,27 @@ def test_unit_vectors_of_an_embedder(spark):
     assert all([round(x, 6) for x in r.embedding] == [0.6, 0.8] for r in got)
     with pytest.raises(Exception, match="zero vector"):
         embedding.embed(df, "id", "t", lambda texts: [[0.0, 0.0]] * len(texts), dim=2, unit=True).collect()
+
+
+def test_a_retriever_that_fails_as_it_runs_is_left_out(spark):
+    good = spark.createDataFrame([("q", 1, 7, 2.0), ("q", 2, 8, 1.0)], "query_id string, rank int, chunk_id long, score double")
+    broken = good.withColumn("score", F.raise_error(F.lit("no answer")).cast("double"))
+    hits, failed = fusion.hybrid_search({"bm25": lambda: good, "vector": lambda: broken}, 5)
+    assert failed == ["vector"] and [r.chunk_id for r in hits.orderBy("rank").collect()] == [7, 8]
+    with pytest.raises(Exception, match="no answer"):
+        fusion.hybrid_search({"vector": lambda: broken}, 5)
+
+
+def test_cache_misses_are_embedded_once(spark, tmp_path):
+    log = str(tmp_path / "asked")
+
+    def embedder(texts):
+        with open(log, "a") as f:
+            f.write("x" * len(texts))
+        return [[1.0] * 64 for _ in texts]
+
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "id long, t string")
+    vectors, fresh = embedding.embed_cached(df, spark.createDataFrame([], "key string, embedding array<float>"), "id", "t", "m", embedder)
+    assert vectors.count() == 3 and fresh.count() == 2
+    with open(log) as f:
+        assert len(f.read()) == 2
